@@ -116,3 +116,8 @@ def with_season(df: DataFrame, matches: DataFrame | None) -> DataFrame:
         return df
     season = matches.select("match_id", "season_name")
     return df.join(season, "match_id", "left").select("season_name", *df.columns)
+
+
+def rounded(df: DataFrame, scale: int = 4) -> DataFrame:
+    """All double columns rounded, for reports and comparisons."""
+    return df.select(*[F.round(c, scale).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -31,6 +31,7 @@ def value_positions(
     if not groups:
         counts = counts.withColumn("_all", F.lit(0))
     keys = groups or ["_all"]
+    counts = cut_lineage(counts)  # read by the size check and by the ranking; the input is computed once
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.count("*").alias("levels"))
     hot = totals.filter(F.col("levels") > hot_values).select(*keys)
     if hot.isEmpty():

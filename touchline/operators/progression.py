@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import OPEN_PLAY, in_box, in_match, ladder, pct, ratio, sum_flag, with_season
+from touchline.functions.lineage import cut_lineage
 from touchline.functions.ranks import quantile_scalars
 from touchline.operators.minutes import PLAYER, minutes_played
 
@@ -173,6 +174,7 @@ def progression_profile(events, lineups, match_id=None, min_minutes: float = 30)
         rows = rows.withColumn(f"{n}_p90", F.round(F.col(n) / F.col("total_mins").cast("double") * 90.0, 2))
     p, c, r = (F.col(f"{n}_p90") for n in names)
     rows = rows.withColumn("total_progressive_actions_p90", F.round(p + c + r, 2))
+    rows = cut_lineage(rows)  # one row per player, read by the quantiles and by the labels
     cut = quantile_scalars(rows, {
         "p75": ("progressive_passes_p90", 0.75), "c75": ("progressive_carries_p90", 0.75),
         "r75": ("progressive_passes_received_p90", 0.75),

@@ -133,7 +133,7 @@ SELECT 'C' || CAST(o_custkey AS STRING) AS player, 'T' || CAST(o_custkey % 40 AS
     ELSE 'Eredivisie' END AS competition_name,
   n_orders * 90 + o_custkey % 90 AS minutes_played, n_orders AS matches,
   n_orders * 17 % 120 AS total_passes,
-  n_urgent AS goals, CAST(cents % 700 AS DOUBLE) / 100e0 AS xg,
+  CAST(n_urgent AS BIGINT) AS goals, CAST(cents % 700 AS DOUBLE) / 100e0 AS xg,
   CAST(cents % 977 AS DOUBLE) / 10e0 AS m_progression,
   CASE WHEN o_custkey % 7 <> 0 THEN CAST(cents % 389 AS DOUBLE) / 4e0 END AS m_control,
   CAST(cents % 53 AS DOUBLE) AS m_defence
@@ -198,6 +198,19 @@ SELECT 'N' || CAST(c_nationkey AS STRING) AS country, 'C' || CAST(c_custkey AS S
 FROM customer
 """
 
+V_COUNTRIES = """
+SELECT 'N' || CAST(n_nationkey AS STRING) AS country, n_nationkey * 7 % 85 + 1 AS fifa_rank,
+  n_nationkey % 14 + 0.5e0 AS coach_years, n_nationkey * 3 % 24 AS wc_appearances,
+  CASE WHEN n_nationkey % 5 = 0 THEN 1.05e0 ELSE 1e0 END AS confederation_bonus,
+  CASE n_nationkey % 4 WHEN 0 THEN 'UEFA' WHEN 1 THEN 'CONMEBOL' WHEN 2 THEN 'CAF' ELSE 'AFC' END AS confederation,
+  2012 + n_nationkey % 14 AS manager_since, n_nationkey % 6 AS cluster,
+  CASE WHEN n_nationkey % 7 <> 0 THEN CASE n_nationkey % 6 WHEN 0 THEN 'Possession Dominant' WHEN 1 THEN 'Low Intensity'
+    WHEN 2 THEN 'High Press / High Output' WHEN 3 THEN 'Compact Transition' WHEN 4 THEN 'Mid-Block Reactive'
+    ELSE 'Moderate Possession' END END AS archetype,
+  CASE WHEN n_nationkey % 5 = 1 THEN 0e0 ELSE (n_nationkey * 13 % 100) / 100e0 END AS gmm_confidence
+FROM nation
+"""
+
 # view name -> (SQL, names it reads)
 VIEWS = {
     "v_events": (V_EVENTS, ["events"]),
@@ -210,13 +223,19 @@ VIEWS = {
     "v_markets": (V_MARKETS, ["events"]),
     "v_trades": (V_TRADES, ["lineitem"]),
     "v_rosters": (V_ROSTERS, ["customer"]),
+    "v_countries": (V_COUNTRIES, ["nation"]),
 }
 
+_READ: dict[tuple[str, str, str], DataFrame] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a view, as a lazy DataFrame. Nothing is registered in the session."""
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _READ:  # the schema is read from the footer once, not once per query
+            _READ[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _READ[key]
     sql, reads = VIEWS[name]
     sql = sql.replace("UNNEST(RANGE(0, 5))", "EXPLODE(SEQUENCE(0, 4))")
     for source in reads:
