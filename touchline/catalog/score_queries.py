@@ -187,14 +187,14 @@ PS_POS = "(SELECT DISTINCT player, season_name, archetype FROM v_player_season W
 def _flagged(t):
     return season.sample_filter(t.v_player_season.select(
         "player", "player_id", "team", "season_name", "season_year", "minutes_played", "competition_name",
-        (F.col("m_progression") / 100.0).alias("p_norm"), (F.col("m_control") / 100.0).alias("c_norm")), hard=400, floor=180)
+        (F.col("m_progression") / 97.0).alias("p_norm"), (F.col("m_control") / 97.0).alias("c_norm")), hard=400, floor=180)
 
 
 def _positions(t):
     return t.v_player_season.filter(F.col("archetype").isNotNull()).select("player", "season_name", "archetype").distinct()
 
 
-SHRUNK = f"""fl AS (SELECT s.player, player_id, team, season_name, season_year, minutes_played, competition_name, m_progression / 100e0 AS p_norm, m_control / 100e0 AS c_norm,
+SHRUNK = f"""fl AS (SELECT s.player, player_id, team, season_name, season_year, minutes_played, competition_name, m_progression / 97e0 AS p_norm, m_control / 97e0 AS c_norm,
    minutes_played < 400 AS shrinkage_flag, COALESCE(q.archetype, 'CM') AS position_archetype
   FROM v_player_season s LEFT JOIN {PS_POS} q USING (player, season_name) WHERE minutes_played >= 180),
  mu AS (SELECT season_name, position_archetype, AVG(p_norm) AS mp, AVG(c_norm) AS mc FROM fl WHERE NOT shrinkage_flag GROUP BY ALL),

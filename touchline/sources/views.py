@@ -194,7 +194,7 @@ SELECT 'N' || CAST(c_nationkey AS STRING) AS country, 'C' || CAST(c_custkey AS S
   c_mktsegment || CAST(c_custkey % 9 AS STRING) AS club, CAST(18 + c_custkey % 20 AS INT) AS age,
   CASE c_custkey % 8 WHEN 0 THEN 'CB' WHEN 1 THEN 'FB' WHEN 2 THEN 'DM' WHEN 3 THEN 'CM' WHEN 4 THEN 'AM'
     WHEN 5 THEN 'W' WHEN 6 THEN 'FW' ELSE 'CB' END AS position_archetype,
-  CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey * 37 % 997 AS DOUBLE) / 10e0 END AS final_score
+  CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey * 37 % 997 AS DOUBLE) / 9.97e0 END AS final_score
 FROM customer
 """
 
@@ -211,6 +211,22 @@ SELECT 'N' || CAST(n_nationkey AS STRING) AS country, n_nationkey * 7 % 85 + 1 A
 FROM nation
 """
 
+# Match-level team metrics: one row per customer and year.
+V_TEAM_MATCH = """
+SELECT player_id * 10 + season_year % 10 AS match_id, team, season_year, competition_name, m_progression + 1e0 AS ppda,
+  1e0 + m_defence / 26e0 AS defensive_line_height, total_passes * 0.8e0 AS field_tilt_pct,
+  CAST(minutes_played % 61 + 20 AS DOUBLE) AS possession_pct, CAST(matches * 3 + goals AS BIGINT) AS progressive_carries,
+  CAST(total_passes % 37 + 1 AS BIGINT) AS progressive_passes, m_control AS epr, xg AS npxg, xg + 0.1e0 AS total_xg,
+  xg / (matches + 1) AS avg_xg_per_buildup_possession
+FROM v_player_season
+"""
+
+V_FEATURES = """
+SELECT vec_id, label, CAST(LIST_EXTRACT(embedding, 1) AS DOUBLE) AS f1, CAST(LIST_EXTRACT(embedding, 2) AS DOUBLE) AS f2,
+  CAST(LIST_EXTRACT(embedding, 3) AS DOUBLE) AS f3, CAST(LIST_EXTRACT(embedding, 4) AS DOUBLE) AS f4
+FROM embeddings
+"""
+
 # view name -> (SQL, names it reads)
 VIEWS = {
     "v_events": (V_EVENTS, ["events"]),
@@ -224,6 +240,8 @@ VIEWS = {
     "v_trades": (V_TRADES, ["lineitem"]),
     "v_rosters": (V_ROSTERS, ["customer"]),
     "v_countries": (V_COUNTRIES, ["nation"]),
+    "v_team_match": (V_TEAM_MATCH, ["v_player_season"]),
+    "v_features": (V_FEATURES, ["embeddings"]),
 }
 
 _READ: dict[tuple[str, str, str], DataFrame] = {}
@@ -237,7 +255,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             _READ[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return _READ[key]
     sql, reads = VIEWS[name]
-    sql = sql.replace("UNNEST(RANGE(0, 5))", "EXPLODE(SEQUENCE(0, 4))")
+    sql = sql.replace("UNNEST(RANGE(0, 5))", "EXPLODE(SEQUENCE(0, 4))").replace("LIST_EXTRACT(", "ELEMENT_AT(")
     for source in reads:
         sql = _reference(sql, source)
     return spark.sql(sql, **{source: table(spark, sf_dir, source) for source in reads})
