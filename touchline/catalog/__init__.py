@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["event_queries", "score_queries", "cluster_queries"]
+MODULES = ["event_queries", "score_queries", "cluster_queries", "market_queries", "profile_queries"]
 
 
 def load() -> None:

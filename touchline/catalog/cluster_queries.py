@@ -167,7 +167,7 @@ WITH b AS (SELECT c_name AS team, c_custkey AS k, (c_custkey % 6)::INT AS c, [(c
  w AS (SELECT *, CASE WHEN c = 0 AND r IS NULL THEN 80e0 ELSE sc[c + 1]::DOUBLE END AS s1, sc[c2 + 1]::DOUBLE AS s2 FROM v),
  x AS (SELECT *, CASE WHEN p1 >= 0.1 THEN ROUND((p1 * s1 + p2 * s2) / CASE WHEN p1 + p2 > 0 THEN p1 + p2 ELSE 1 END, 1) ELSE ROUND(s1, 1) END AS bl, ROUND((pr - 0.5e0) * 8 * sw, 1) AS qa FROM w)
 SELECT team, {STYLE_CASE.format(k='c')} AS archetype, s1 AS archetype_score, {STYLE_CASE.format(k='c2')} AS second_archetype, s2 AS second_archetype_score, p1 AS gmm_confidence, bl AS blend_score,
-  sw AS sample_weight, pw AS wc_presence_weight, qa AS quality_adjustment, ROUND(GREATEST(0, LEAST(100, GREATEST(0, LEAST(100, bl * sw * pw)) + qa)), 1) AS final_score FROM x""")
+  sw AS sample_weight, pw AS wc_presence_weight, qa AS quality_adjustment, ROUND(GREATEST(0, LEAST(100, GREATEST(0, LEAST(100, bl * sw * pw)) + qa)) + 1e-9, 1) AS final_score FROM x""")
 query("c20_reconcile_names", lambda t: validation.reconcile_names(
     t.nation.select(F.col("n_name").alias("team")), {"NATION_3": "Three"}, t.nation.filter("n_nationkey % 2 = 1").select(F.when(F.col("n_nationkey") == 3, "Three").otherwise(F.col("n_name")).alias("team"))), """
 SELECT CASE WHEN n_nationkey = 3 THEN 'Three' ELSE n_name END AS team, n_nationkey % 2 = 1 AS matched FROM nation""")

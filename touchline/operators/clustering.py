@@ -63,7 +63,7 @@ def quality_audit(teams: DataFrame, columns: list[str] = CORE_METRICS, low: int
     flags = F.array(
         F.when(F.col("n_matches") <= low, row("low_sample", "n_matches", F.col("team"), F.col("n_matches"))),
         *[F.when(F.abs(F.col(c) - stats[f"m_{c}"]) > 3 * stats[f"s_{c}"], row("outlier_3_sigma", c, F.col("team"), F.col(c))) for c in columns])
-    rows = teams.select(F.explode(F.filter(flags, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    rows = teams.select(F.explode(flags).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
     return summary.unionByName(rows)
 
 

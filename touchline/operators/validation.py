@@ -216,7 +216,8 @@ def final_scores(rows: DataFrame, names: list[str], presence: DataFrame, key: st
     base = F.least(F.greatest(F.col("blend_score") * F.col("sample_weight") * F.col("wc_presence_weight"), F.lit(0.0)), F.lit(100.0))
     df = df.withColumn("quality_adjustment", F.round((F.col("_pr") - 0.5) * 8.0 * F.col("sample_weight"), 1))
     final = F.least(F.greatest(base + F.col("quality_adjustment"), F.lit(0.0)), F.lit(100.0))
-    return df.withColumn("final_score", F.round(final, 1)).drop("_q", "_pr", "_rank")
+    # the parts have one or two decimals, so halves are common: the nudge settles them upward
+    return df.withColumn("final_score", F.round(final + 1e-9, 1)).drop("_q", "_pr", "_rank")
 
 
 def reconcile_names(rows: DataFrame, renames: dict[str, str], known: DataFrame, key: str = "team") -> DataFrame:
