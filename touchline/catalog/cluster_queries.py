@@ -75,11 +75,11 @@ def _clustered(t, k=3):
 
 query("c6_fit_kmeans", lambda t: _clustered(t)[0].select("vec_id", "cluster", "archetype"))
 query("c6_centroids", lambda t: rounded(_clustered(t)[1].select("cluster", "archetype", "size", *FEATURES)))
-query("c7_mixture_probabilities", lambda t: clustering.mixture_probabilities(_clustered(t)[0], 3).select("vec_id", "cluster", "gmm_aligned", "proba"))
+query("c7_mixture_probabilities", lambda t: clustering.mixture_probabilities(_clustered(t)[0], 3, n_init=1).select("vec_id", "cluster", "gmm_aligned", "proba"))
 query("c8_sweep_k", lambda t: clustering.sweep_k(_vectors(t), [2, 3, 4], n_init=1))
 query("c8_decision_matrix", lambda t: clustering.decision_matrix(clustering.sweep_k(_vectors(t), [2, 3, 4], n_init=1)))
-query("c9_mixture_agreement", lambda t: clustering.mixture_agreement(_clustered(t)[0], 3, "vec_id")[0])
-query("c9_mixture_disagreements", lambda t: clustering.mixture_agreement(_clustered(t)[0], 3, "vec_id")[1])
+query("c9_mixture_agreement", lambda t: clustering.mixture_agreement(_clustered(t)[0], 3, "vec_id", n_init=1)[0])
+query("c9_mixture_disagreements", lambda t: clustering.mixture_agreement(_clustered(t)[0], 3, "vec_id", n_init=1)[1])
 query("c9_adjusted_rand", lambda t: rounded(t.embeddings.select("label", (F.col("vec_id") % 5).alias("b"), (F.col("label") % 3).alias("c")).transform(
     lambda d: d.sparkSession.range(1).select(clustering.adjusted_rand(d, "label", "b").alias("ari_random"), clustering.adjusted_rand(d, "label", "c").alias("ari_coarse")))), """
 WITH p AS (SELECT label AS a, vec_id % 5 AS b, label % 3 AS c FROM embeddings),

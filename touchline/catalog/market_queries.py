@@ -74,13 +74,14 @@ DICT = "dc AS (SELECT DISTINCT SPLIT_PART(text, ' ', 1) || ' ' || SPLIT_PART(tex
 
 
 def _found(t: str, n: str) -> str:
-    return f"REGEXP_MATCHES(LOWER({t}), '(^|{EDGE})' || REGEXP_ESCAPE(LOWER({n})) || '($|{EDGE})')"
+    # the plain search comes first, so that the pattern is only compiled for pairs that can match
+    return f"CASE WHEN CONTAINS(LOWER({t}), LOWER({n})) THEN REGEXP_MATCHES(LOWER({t}), '(^|{EDGE})' || REGEXP_ESCAPE(LOWER({n})) || '($|{EDGE})') ELSE FALSE END"
 
 
 query("q7_teams_in_documents", lambda t: matching.teams_in_text(t.documents, "doc_id", "text", _text_dictionary(t).withColumn("strict", F.lit(True))), f"""
 WITH {DICT} SELECT doc_id, name FROM documents JOIN dc ON {_found(t='documents.text', n='name')}""")
 query("q7_club_names_in_documents", lambda t: matching.teams_in_text(t.documents, "doc_id", "text", _text_dictionary(t).withColumn("strict", F.lit(False))), f"""
-WITH {DICT}, p AS (SELECT name, LIST_FILTER(STRING_SPLIT(LOWER(name), ' '), x -> LENGTH(x) >= 5) AS ps FROM dc)
+WITH {DICT}, p AS (SELECT name, LIST_FILTER(STRING_SPLIT(LOWER(name), ' '), lambda x: LENGTH(x) >= 5) AS ps FROM dc)
 SELECT DISTINCT doc_id, name FROM documents JOIN p ON {_found(t='documents.text', n='name')}
   OR (LENGTH(ps) > 0 AND {_found(t='documents.text', n="COALESCE(ps[1], '')")} AND (LENGTH(ps) < 2 OR {_found(t='documents.text', n="COALESCE(ps[2], '')")})
     AND (LENGTH(ps) < 3 OR {_found(t='documents.text', n="COALESCE(ps[3], '')")}))""")
@@ -97,16 +98,26 @@ def _person_dictionary(t):
     return t.benchmark.select(F.regexp_replace(F.concat_ws(" ", w[0], w[1], w[2], w[4]), r"[^\p{L} ]", "").alias("name")).distinct()
 
 
-def _near(a: str, b: str) -> str:
-    gap = f"'[\\s\\S]{{0,' || (50 - LENGTH({a}) - 2)::VARCHAR || '}}'"
-    return f"REGEXP_MATCHES(LOWER(text), '(^|{EDGE})' || {a} || '({EDGE}|{EDGE}' || {gap} || '{EDGE})' || {b} || '($|{EDGE})')"
+def _turns(t):
+    return t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
 
 
-query("q8_players_in_documents", lambda t: matching.players_in_text(t.documents, "doc_id", "text", _person_dictionary(t)), f"""
+def _persons_oracle(key: str, source: str) -> str:
+    """Words with their character offsets stand in for the proximity pattern."""
+    return f"""
 WITH w AS (SELECT STRING_SPLIT(text, ' ') AS w FROM benchmark), n AS (SELECT DISTINCT REGEXP_REPLACE(w[1] || ' ' || w[2] || ' ' || w[3] || ' ' || w[5], '[^\\p{{L}} ]', '', 'g') AS name FROM w),
- p AS (SELECT name, LOWER(STRING_SPLIT(name, ' ')[1]) AS a, LOWER(STRING_SPLIT(name, ' ')[-1]) AS b FROM n)
-SELECT DISTINCT doc_id, name FROM documents JOIN p ON {_found(t='text', n='name')} OR {_near('a', 'b')} OR {_near('b', 'a')}
-  OR (a = b AND {_found(t='text', n='a')})""")
+ p AS (SELECT name, LOWER(STRING_SPLIT(name, ' ')[1]) AS a, LOWER(STRING_SPLIT(name, ' ')[-1]) AS b FROM n), c AS ({source}),
+ k AS (SELECT {key}, UNNEST(STRING_SPLIT_REGEX(LOWER(text), '{EDGE}')) AS tok, UNNEST(RANGE(1, 1 + LENGTH(STRING_SPLIT_REGEX(LOWER(text), '{EDGE}')))) AS i FROM c),
+ o AS (SELECT {key}, tok, SUM(LENGTH(tok) + 1) OVER (PARTITION BY {key} ORDER BY i ROWS UNBOUNDED PRECEDING) - LENGTH(tok) AS pos FROM k),
+ ends AS (SELECT DISTINCT a AS e FROM p UNION SELECT b FROM p), f AS (SELECT {key}, tok, pos FROM o JOIN ends ON tok = e)
+SELECT {key}, name FROM c JOIN p ON {_found('text', 'name')}
+UNION SELECT x.{key}, name FROM p JOIN f x ON x.tok = a JOIN f y ON y.{key} = x.{key} AND y.tok = b AND ABS(x.pos - y.pos) <= 50"""
+
+
+query("q8_players_in_documents", lambda t: matching.players_in_text(t.documents, "doc_id", "text", _person_dictionary(t)),
+      _persons_oracle("doc_id", "SELECT doc_id, text FROM documents"))
+query("q8_players_in_conversations", lambda t: matching.players_in_text(_turns(t), "turn_id", "text", _person_dictionary(t)),
+      _persons_oracle("turn_id", "SELECT conv_id || '-' || turn AS turn_id, text FROM conversations"))
 
 
 def _queries(t):

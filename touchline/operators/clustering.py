@@ -133,10 +133,14 @@ def fit_kmeans(df: DataFrame, columns: list[str], k: int = 6, n_init: int = 20,
     return named(rows), named(means)
 
 
-def fit_mixture(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Mixture label and probabilities per row."""
-    rows = GaussianMixture(k=k, seed=seed, maxIter=60, predictionCol="gmm", probabilityCol="_p").fit(df).transform(df)
-    return rows.withColumn("gmm_p", vector_to_array("_p")).drop("_p")
+def fit_mixture(df: DataFrame, k: int, seed: int = 42, n_init: int = 20) -> DataFrame:
+    """Mixture label and probabilities per row, from the likeliest of ``n_init`` seeded fits."""
+    best = None
+    for i in range(n_init):
+        model = GaussianMixture(k=k, seed=seed + i, maxIter=200, tol=1e-4, predictionCol="gmm", probabilityCol="_p").fit(df)
+        if best is None or model.summary.logLikelihood > best.summary.logLikelihood:
+            best = model
+    return best.transform(df).withColumn("gmm_p", vector_to_array("_p")).drop("_p")
 
 
 def align_labels(rows: DataFrame, a: str, b: str, k: int) -> dict[int, int]:
@@ -153,9 +157,9 @@ def align_labels(rows: DataFrame, a: str, b: str, k: int) -> dict[int, int]:
     return out | {y: free.pop(0) for y in range(k) if y not in out}
 
 
-def mixture_probabilities(rows: DataFrame, k: int, label: str = "cluster", seed: int = 42) -> DataFrame:
+def mixture_probabilities(rows: DataFrame, k: int, label: str = "cluster", seed: int = 42, n_init: int = 20) -> DataFrame:
     """Mixture probabilities with positions aligned to ``label``, 4 decimals."""
-    fitted = cut_lineage(fit_mixture(rows, k, seed))
+    fitted = cut_lineage(fit_mixture(rows, k, seed, n_init))
     to_label = align_labels(fitted, label, "gmm", k)
     source = [next(g for g, c in to_label.items() if c == i) for i in range(k)]
     aligned = F.array(*[F.round(F.element_at("gmm_p", g + 1), 4) for g in source])
@@ -163,9 +167,9 @@ def mixture_probabilities(rows: DataFrame, k: int, label: str = "cluster", seed:
     return fitted.withColumn("proba", aligned).withColumn("gmm_aligned", mapping[F.col("gmm")]).drop("gmm_p")
 
 
-def mixture_agreement(rows: DataFrame, k: int, key: str = "team", label: str = "cluster", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mixture_agreement(rows: DataFrame, k: int, key: str = "team", label: str = "cluster", seed: int = 42, n_init: int = 20) -> tuple[DataFrame, DataFrame]:
     """(one row: adjusted Rand index and raw agreement, rows with different labels)."""
-    both = mixture_probabilities(rows, k, label, seed)
+    both = mixture_probabilities(rows, k, label, seed, n_init)
     same = F.avg((F.col(label) == F.col("gmm_aligned")).cast("double"))
     ari = adjusted_rand(both, label, "gmm")
     stats = both.agg(F.round(same, 3).alias("raw_agreement"), F.count("*").alias("rows")).withColumn("ari", F.round(ari, 3))
@@ -285,7 +289,7 @@ def sweep_k(df: DataFrame, k_values=range(2, 10), n_init: int = 20, seed: int =
     for k in k_values:
         rows = best_kmeans(df, k, n_init, seed).transform(df).withColumnRenamed("prediction", "cluster")
         stats, _ = cluster_quality(rows)
-        ari = adjusted_rand(fit_mixture(rows, k, seed), "cluster", "gmm") if mixture else F.lit(None).cast("double")
+        ari = adjusted_rand(fit_mixture(rows, k, seed, n_init), "cluster", "gmm") if mixture else F.lit(None).cast("double")
         parts.append(stats.select(
             F.lit(k).alias("k"), F.round("silhouette", 3).alias("silhouette"), F.round("calinski_harabasz", 1).alias("calinski_harabasz"),
             F.round("davies_bouldin", 3).alias("davies_bouldin"), F.round(ari, 3).alias("gmm_ari"), F.round("inertia", 1).alias("inertia")))

@@ -39,7 +39,7 @@ def team_styles(
     scaled = clustering.cap_and_scale(teams)
     names = STYLES[:k]
     rows, _ = clustering.fit_kmeans(scaled.withColumn("_press", -F.col("ppda")), ["_press"], k, n_init, names, "_press")
-    rows = clustering.mixture_probabilities(rows, k)
+    rows = clustering.mixture_probabilities(rows, k, n_init=n_init)
     out = validation.final_scores(rows, names, presence, cap=cap)
     if known is not None:
         out = validation.reconcile_names(out, renames or {}, known)
