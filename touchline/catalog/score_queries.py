@@ -328,7 +328,7 @@ WITH g AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'C' ELSE 'X' END || c_custkey
    WHERE c_custkey % 3 = 0 AND c_custkey <= 300),
  h AS (SELECT player, r, CASE WHEN r <= 10 THEN 90 - (r - 1) * (7 / 9e0) WHEN r <= 30 THEN 82 - (r - 11) * (10 / 19e0) ELSE 71 - (r - 31) * (16 / 69e0) END AS s,
    CASE WHEN r <= 10 THEN 0.4e0 WHEN r <= 30 THEN 0.25e0 ELSE 0.15e0 END AS w FROM g)
-SELECT v.player, club AS team, 'A' AS coverage_tier, final_score AS composite_score,
+SELECT v.player, club AS team, 'A' AS coverage_tier, ROUND(final_score, 4) AS composite_score,
   ROUND(CASE WHEN final_score IS NULL THEN NULL WHEN r IS NOT NULL THEN (1 - w) * final_score + w * s ELSE LEAST(final_score, 70) END, 4) AS final_score
 FROM v_rosters v LEFT JOIN h USING (player)
 UNION ALL SELECT player, 'club', 'D', NULL, ROUND(CASE WHEN r <= 10 THEN 65 - (r - 1) * (5 / 9e0) ELSE 40 - (r - 11) * (10 / 89e0) END, 4)

@@ -60,17 +60,30 @@ def longest(tokens: Column) -> Column:
     return F.array_max(F.transform(tokens, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
+def _quoted(phrase: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def _bounded(phrase: Column) -> Column:
-    """Pattern of a literal phrase between word boundaries."""
-    quoted = F.concat(F.lit(r"\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.concat(F.lit(f"(?<![{WORD}])"), quoted, F.lit(f"(?![{WORD}])"))
+    """Pattern of a literal phrase between word boundaries.
+
+    The literal comes first and its left boundary is looked up afterwards: the matcher then
+    compares plain characters at most places of a long text.
+    """
+    quoted = _quoted(phrase)
+    return F.concat(quoted, F.lit(f"(?<![{WORD}]"), quoted, F.lit(f")(?![{WORD}])"))
+
+
+def _has(text: Column, phrase: Column) -> Column:
+    """The phrase stands in the text between word boundaries. A plain search decides most pairs."""
+    return F.when(text.contains(phrase), F.regexp_like(text, _bounded(phrase))).otherwise(F.lit(False))
 
 
 def _candidates(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
     """Texts beside the dictionary entries whose anchor word they hold."""
-    spread = texts.select(key, F.lower(text).alias("_text"), F.explode(F.array_distinct(words(F.col(text)))).alias("anchor"))
+    spread = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), f"[^{WORD}]+"))).alias("anchor"))
     # The word is matched before the text is carried: only (key, word) rows meet the dictionary.
-    hits = spread.select(key, "anchor").join(entries, "anchor").drop("anchor")
+    hits = spread.join(entries, "anchor").drop("anchor")
     return hits.join(texts.select(key, F.lower(text).alias("_text")), key)
 
 
@@ -96,8 +109,8 @@ def teams_in_text(
         base = base.unionByName(alias.select(
             "name", F.col("p.alias").alias("phrase"), F.lit(None).cast("array<string>").alias("parts"), longest(words(F.col("p.alias"))).alias("anchor")))
     body = F.col("_text")
-    full = F.regexp_like(body, _bounded(F.col("phrase")))
-    every = F.col("parts").isNotNull() & F.coalesce(F.forall("parts", lambda p: F.regexp_like(body, _bounded(p))), F.lit(False))
+    full = _has(body, F.col("phrase"))
+    every = F.col("parts").isNotNull() & F.coalesce(F.forall("parts", lambda p: _has(body, p)), F.lit(False))
     return _candidates(texts, key, text, base).filter(full | every).select(key, "name").distinct()
 
 
@@ -114,8 +127,9 @@ def players_in_text(texts: DataFrame, key: str, text: str, players: DataFrame, r
     gap = lambda n: F.concat(F.lit(r"[\s\S]{0,"), F.greatest(F.lit(reach) - F.length(n), F.lit(0)).cast("string"), F.lit("}?"))
     body, a, b = F.col("_text"), F.col("first"), F.col("last")
     near = lambda x, y: (F.length(x) <= reach) & F.regexp_like(body, F.concat(_bounded(x), gap(x), _bounded(y)))
-    same = (a == b) & F.regexp_like(body, _bounded(a))
-    hit = F.regexp_like(body, _bounded(F.col("phrase"))) | F.coalesce(near(a, b) | near(b, a) | same, F.lit(False))
+    same = (a == b) & _has(body, a)
+    ends_near = F.when(body.contains(a) & body.contains(b), near(a, b) | near(b, a) | same).otherwise(F.lit(False))
+    hit = _has(body, F.col("phrase")) | F.coalesce(ends_near, F.lit(False))
     return _candidates(texts, key, text, entries).filter(hit).select(key, "name").distinct()
 
 
