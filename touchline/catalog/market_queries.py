@@ -234,7 +234,11 @@ FIN = """x AS (SELECT match_id, team, SUM(shot_statsbomb_xg) AS xg FROM v_events
 query("q19_finishing_extremes", lambda t: rounded(markets.extremes(_finished(t), "key", "finishing")), f"""
 WITH {FIN} SELECT * FROM (SELECT key, ROUND(finishing, 4) AS finishing, 'top' AS "end" FROM fn ORDER BY finishing DESC, key LIMIT 3) a
 UNION ALL SELECT * FROM (SELECT key, ROUND(finishing, 4), 'bottom' FROM fn ORDER BY finishing, key LIMIT 3) b""")
-query("q19_finishing_correlation", lambda t: rounded(markets.pearson(_finished(t), "finishing", "defensive_performance")))
+query("q19_finishing_correlation", lambda t: rounded(markets.pearson(_finished(t), "finishing", "defensive_performance").drop("p_value")), """
+WITH x AS (SELECT match_id, team, SUM(shot_statsbomb_xg) AS xg FROM v_events WHERE type = 'Shot' GROUP BY ALL), mx AS (SELECT match_id, SUM(xg) AS tot FROM x GROUP BY match_id),
+ l AS (SELECT match_id, competition, home_team AS team, home_score AS gf, away_score AS ga FROM v_matches UNION ALL SELECT match_id, competition, away_team, away_score, home_score FROM v_matches),
+ s AS (SELECT SUM(gf) - ROUND(SUM(COALESCE(xg, 0)), 2) AS f, ROUND(SUM(COALESCE(tot, 0) - COALESCE(xg, 0)), 2) - SUM(ga) AS d FROM l LEFT JOIN x USING (match_id, team) LEFT JOIN mx USING (match_id) GROUP BY competition, team)
+SELECT ROUND(CORR(f, d), 4) AS r, COUNT(*) AS n FROM s""")
 query("q20_pre_event_refit", lambda t: rounded(markets.mispricing_summary(_priced(t).filter("implied_prob < 0.20"), "xg_diff", "implied_prob").select("slope", "intercept", "r2", "n"), 5), f"""
 WITH {PRICED} SELECT ROUND(REGR_SLOPE(p, x), 5) AS slope, ROUND(REGR_INTERCEPT(p, x), 5) AS intercept, ROUND(REGR_R2(p, x), 5) AS r2, COUNT(*) AS n FROM pr WHERE p < 0.2""")
 

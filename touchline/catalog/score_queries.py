@@ -297,14 +297,12 @@ def _scored(t):
     meta = ["player", "team", "season_name", F.coalesce("archetype", F.lit("CM")).alias("position_archetype"),
             F.lit("x").alias("archetype_label"), F.lit(1.0).alias("decay_weight"), "competition_name"]
     rows = t.v_player_season
-    tables = {k: rows.select(*meta, (F.col(c) / 100.0).alias(f"{k}_norm")) for k, c in
-              (("p", "m_progression"), ("c", "m_control"), ("d", "m_defence"))}
+    # whole numbers, so that means and ties are the same in both engines
+    tables = {k: rows.select(*meta, c.alias(f"{k}_norm")) for k, c in
+              (("p", F.round(F.col("m_progression") * 10)), ("c", F.col("m_control") * 4), ("d", F.col("m_defence")))}
     return scoring.build_scores(tables, t.v_rosters, _tiers(t), metrics=THREE)
 
 
-SCORED = f"""{WEIGHT_ROWS}, pl AS (SELECT player, COALESCE(MODE(archetype), 'CM') AS archetype, COUNT(DISTINCT season_name) AS n, MODE(competition_name) AS cn,
-   ROUND(AVG(m_progression / 100e0), 9) AS p, ROUND(AVG(m_control / 100e0), 9) AS c, ROUND(AVG(m_defence / 100e0), 9) AS d FROM v_player_season GROUP BY player)"""
-
 query("s12_build_scores", lambda t: rounded(_scored(t).select("player", "coverage_tier", "club_weight", "age_multiplier", "confidence").drop_duplicates()), """
 WITH r AS (SELECT player, age, CASE RIGHT(club, 1) WHEN '1' THEN 1e0 WHEN '2' THEN 0.95e0 WHEN '3' THEN 0.88e0 WHEN '4' THEN 0.75e0
    WHEN '5' THEN 0.6e0 WHEN '0' THEN 0.8e0 ELSE 0.8e0 END AS club_weight FROM v_rosters),
@@ -313,7 +311,19 @@ WITH r AS (SELECT player, age, CASE RIGHT(club, 1) WHEN '1' THEN 1e0 WHEN '2' TH
 SELECT player, coverage_tier, club_weight, CASE WHEN age <= 29 THEN 1e0 WHEN age <= 31 THEN 0.97e0 WHEN age <= 33 THEN 0.93e0 WHEN age <= 35 THEN 0.88e0 ELSE 0.82e0 END AS age_multiplier,
   CASE coverage_tier WHEN 'A' THEN 1e0 WHEN 'B' THEN 0.97e0 WHEN 'C' THEN 0.9e0 ELSE 0.8e0 END AS confidence FROM q JOIN r USING (player)""")
 
-query("s12_ranked_scores", lambda t: rounded(_scored(t).select("player", "rank", "composite_score", "Progression_score", "Control_score")))
+query("s12_ranked_scores", lambda t: rounded(_scored(t).select("player", "rank", "composite_score", "Progression_score", "Control_score")), f"""
+WITH {WEIGHT_ROWS}, r AS (SELECT player, age, CASE RIGHT(club, 1) WHEN '1' THEN 1e0 WHEN '2' THEN 0.95e0 WHEN '3' THEN 0.88e0 WHEN '4' THEN 0.75e0 WHEN '5' THEN 0.6e0 ELSE 0.8e0 END AS cw FROM v_rosters),
+ pl AS (SELECT player, COALESCE(MIN(archetype), 'CM') AS archetype, COUNT(DISTINCT season_name) AS n, MODE(competition_name) AS cn, AVG(ROUND(m_progression * 10)) AS p, AVG(m_control * 4) AS c,
+   AVG(m_defence) AS d FROM v_player_season GROUP BY player),
+ dr AS (SELECT *, DENSE_RANK() OVER (PARTITION BY archetype ORDER BY p) AS dp, DENSE_RANK() OVER (PARTITION BY archetype ORDER BY c NULLS LAST) AS dc, DENSE_RANK() OVER (PARTITION BY archetype ORDER BY d) AS dd FROM pl),
+ pc AS (SELECT *, dp / MAX(dp) OVER g * 100e0 AS pp, CASE WHEN c IS NOT NULL THEN dc / MAX(CASE WHEN c IS NOT NULL THEN dc END) OVER g * 100e0 END AS cp, dd / MAX(dd) OVER g * 100e0 AS mp FROM dr WINDOW g AS (PARTITION BY archetype)),
+ sc AS (SELECT player, pp, cp, c, CASE WHEN wm IS NULL THEN (mp + pp + COALESCE(cp, 0)) / (2 + (cp IS NOT NULL)::INT)
+    ELSE (mp * wm + pp * wp + COALESCE(cp * wc, 0)) / (wm + wp + CASE WHEN cp IS NOT NULL THEN wc ELSE 0 END) END * cw
+   * CASE WHEN age <= 29 THEN 1e0 WHEN age <= 31 THEN 0.97e0 WHEN age <= 33 THEN 0.93e0 WHEN age <= 35 THEN 0.88e0 ELSE 0.82e0 END
+   * CASE WHEN cn IN ('La Liga','Premier League') THEN CASE WHEN n >= 2 THEN 1e0 ELSE 0.97e0 END WHEN cn = 'FIFA World Cup' THEN 0.9e0 ELSE 0.8e0 END AS comp
+  FROM pc JOIN r USING (player) LEFT JOIN w USING (archetype)),
+ rk AS (SELECT *, RANK() OVER (ORDER BY comp DESC) AS rank FROM sc)
+SELECT player, rank, ROUND(comp, 4) AS composite_score, ROUND(pp, 4) AS "Progression_score", ROUND(cp, 4) AS "Control_score" FROM rk WHERE c IS NOT NULL""")
 
 
 def _list(t):
