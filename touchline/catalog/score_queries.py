@@ -368,7 +368,17 @@ query("s16_score_players", lambda t: rounded(player_scores.older_score(
     t.v_player_season, {"control": "m_control", "progression": "m_progression", "mobility": "m_defence"},
     {"Control": ["control"], "Progression": ["progression"], "Mobility_Intensity": ["mobility"]},
     t.v_rosters.select("player", F.col("club").alias("latest_club"), F.when(F.col("age") < 30, "Left Wing").alias("position")),
-    _tiers(t), current_year=2001)))
+    _tiers(t), current_year=2001).select("player", "control_percentile", "Progression", "recency_factor", "overall_quality")), """
+WITH y AS (SELECT *, EXP(-0.6e0 * (2001 - season_year)) AS w FROM v_player_season),
+ m AS (SELECT player, SUM(m_control * w) / SUM(w) AS c, SUM(m_progression * w) / SUM(w) AS p, SUM(m_defence * w) / SUM(w) AS d, MAX(season_year) AS ly FROM y GROUP BY player HAVING SUM(minutes_played) >= 400),
+ j AS (SELECT player, ly, age < 30 AS wing, c * lm AS c, p * lm AS p, d * lm AS d FROM m JOIN (SELECT player, age, CASE RIGHT(club, 1) WHEN '1' THEN 1.3e0 WHEN '2' THEN 1.15e0 WHEN '3' THEN 1.05e0
+   WHEN '4' THEN 0.85e0 WHEN '5' THEN 0.65e0 ELSE 1e0 END AS lm FROM v_rosters) r USING (player)),
+ q AS (SELECT player, ly, wing, CASE WHEN c IS NOT NULL THEN (RANK() OVER (ORDER BY c NULLS LAST) + (COUNT(*) OVER (PARTITION BY c) - 1) / 2e0) / COUNT(c) OVER () * 99 END AS c,
+   (RANK() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1) / 2e0) / COUNT(p) OVER () * 99 AS p, (RANK() OVER (ORDER BY d) + (COUNT(*) OVER (PARTITION BY d) - 1) / 2e0) / COUNT(d) OVER () * 99 AS d FROM j),
+ f AS (SELECT *, CASE WHEN ly = (SELECT MAX(season_year) FROM v_player_season) THEN 1e0 WHEN ly = (SELECT MAX(season_year) FROM v_player_season) - 1 THEN 0.85e0 ELSE 0.7e0 END AS rf,
+   CASE WHEN wing THEN 0.8e0 ELSE 1 END AS wp, CASE WHEN wing THEN 0.75e0 ELSE 1 END AS wc FROM q)
+SELECT player, ROUND(c, 4) AS control_percentile, ROUND(p * wp, 4) AS "Progression", rf AS recency_factor,
+  ROUND(LEAST(100, GREATEST(0, (d + p * wp * wp + COALESCE(c, 0) * wc * wc) / (1 + wp + wc) * rf)), 4) AS overall_quality FROM f""")
 
 query("plan_player_scores", lambda t: rounded(player_scores.score_players(
     player_scores.metric_tables(t.v_events, t.v_matches, t.v_lineups, t.v_frames), t.v_matches, t.v_lineups,
