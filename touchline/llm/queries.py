@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import mixing, packing, quality_cnn, toxicity
+from touchline.llm import mixing, packing, quality_cnn, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,8 @@ def _(spark, sf_dir):
 @query("op6_quality_classifier")
 def _(spark, sf_dir):
     return quality_cnn.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op8_quality_rules", quality_rules.oracle())
+def _(spark, sf_dir):
+    return quality_rules.judge(documents(spark, sf_dir))
