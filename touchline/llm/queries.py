@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import mixing, packing, quality_cnn, quality_rules, toxicity
+from touchline.llm import mixing, near_dedup, packing, quality_cnn, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,8 @@ def _(spark, sf_dir):
 @query("op8_quality_rules", quality_rules.oracle())
 def _(spark, sf_dir):
     return quality_rules.judge(documents(spark, sf_dir))
+
+
+@query("op3_near_dedup")
+def _(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir))

@@ -132,7 +132,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             if n >= k:
                 yield np.unique(full[a : a + n - k + 1])
             elif n:
-                short = (words[a : a + n] * places[:n]).sum(dtype=np.uint64) + np.uint64(n) * np.uint64(GOLDEN)
-                yield mix64(np.array([short], np.uint64))
+                short = (words[a : a + n] * places[:n]).sum(dtype=np.uint64, keepdims=True) + np.array([n], np.uint64) * np.uint64(GOLDEN)
+                yield mix64(short)
             else:
                 yield np.zeros(0, np.uint64)
