@@ -68,7 +68,7 @@ def least_shared(k: int = K) -> tuple[list[int], list[int]]:
         return min(_tail(u, k) for u in sizes)
 
     any_size = [least(n, n) for n in range(1, SURE_UPTO)] + [endless]
-    larger = [least(n, -(-8 * n // 7)) for n in range(1, SURE_UPTO)] + [endless]
+    larger = [least(n, 8 * n // 7) for n in range(1, SURE_UPTO)] + [endless]
     return any_size, larger
 
 
