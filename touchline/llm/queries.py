@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import mixing, near_dedup, packing, quality_cnn, quality_rules, toxicity
+from touchline.llm import mixing, near_dedup, packing, quality_cnn, quality_rules, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def _(spark, sf_dir):
 @query("op3_near_dedup")
 def _(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op5_winnowing")
+def _(spark, sf_dir):
+    return winnowing.edit_likeness(documents(spark, sf_dir))
