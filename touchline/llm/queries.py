@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import mixing, near_dedup, packing, quality_cnn, quality_rules, toxicity, warc, winnowing
+import corpus_pipeline
+from touchline.llm import mixing, near_dedup, packing, quality_cnn, quality_rules, token_counts, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < first THEN 'r
 def _(spark, sf_dir):
     found = warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_token_counts")
+def _(spark, sf_dir):
+    return token_counts.tokenize_and_count(documents(spark, sf_dir))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
