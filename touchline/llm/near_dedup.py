@@ -7,8 +7,9 @@ always). So, with values ordered rarest first, a linked pair meets in an inverte
 the values of passages that many documents have stand last and need no list. Estimates filter the pairs of a list, and
 the full sets confirm every link.
 
-Equal sets are one class from the start. Short lists are compared pair by pair. A long list is first linked to its
-smallest member; only what then still lies in different components is compared, in blocks, by bitmaps of the sketches.
+Equal sets are one class from the start. Short lists are compared pair by pair. The members of a long list are first
+compared with its smallest; only what then still lies in different components is compared, in blocks, by bitmaps of the
+sketches and then by the full sets, and only links that join two components leave a block.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ WORDS, K = 5, 192
 LOST = 1e-9  # share of linked pairs that may share fewer values than assumed
 SURE_UPTO = 4 * K  # set sizes whose bounds are listed; larger sets take that of an endless one
 BITS = 1024
-SHORT_LIST = 64
-BLOCK = 1024
+SHORT_LIST = 16
+BLOCK = 2048
 BROADCAST_VALUES = 1_000_000  # (value, count) rows of 16 bytes, up to which they are broadcast
 
 
@@ -76,26 +77,34 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _bitmap(shingles: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, np.uint8)
+    bits[shingles[:K] % BITS] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+
+def _hashed(texts: pa.Array) -> list[np.ndarray]:
+    return [np.unique(s >> np.uint64(1)).astype(np.int64) for s in shingle_sets(texts, WORDS)]
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(s >> np.uint64(1)).astype(np.int64) for s in shingle_sets(batch.column("text"), WORDS)]
-        bits = np.zeros((len(sets), BITS), np.uint8)
-        for i, s in enumerate(sets):
-            bits[i, s[:K] % BITS] = 1
-        packed = np.packbits(bits, axis=1)
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.r_[0, np.cumsum([min(len(s), K) for s in sets])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(s[:K] for s in sets)])))
+        sets = _hashed(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
-             lists, pa.array([b.tobytes() for b in packed], pa.binary())], names=["doc_id", "n", "same", "sketch", "bits"])
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), _lists([s[:K] for s in sets])],
+            names=["doc_id", "n", "same", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(s >> np.uint64(1)).astype(np.int64) for s in shingle_sets(batch.column("text"), WORDS)]
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+        sets = _hashed(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), lists], names=["doc_id", "same", "full"])
+            [batch.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_bitmap(s) for s in sets], pa.binary()), _lists(sets)],
+            names=["doc_id", "same", "bits", "full"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -148,14 +157,19 @@ def among(table: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") ->
     return table.join(ids, F.col(key) == F.col("_id"), how)
 
 
+def _one_text(texts: DataFrame) -> DataFrame:
+    """``doc_id``, ``bits``, ``full``: bitmap and full set of each id. Of an id with several rows it is that of the smallest digest."""
+    sets = cut_lineage(texts.mapInArrow(_sets, "doc_id long, same binary, bits binary, full array<long>"))
+    if sets.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return sets.select("doc_id", "bits", "full")
+    return sets.groupBy("doc_id").agg(F.min(F.struct("same", "bits", "full")).alias("s")).select("doc_id", "s.bits", "s.full")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets are similar enough. Sets are made again for the documents in question only."""
     pairs = cut_lineage(pairs)
-    texts = among(_texts(docs), "doc_id", pairs.select("a").union(pairs.select("b")))
-    sets = cut_lineage(texts.mapInArrow(_sets, "doc_id long, same binary, full array<long>"))
-    one = sets.groupBy("doc_id").agg(F.min(F.struct("same", "full")).alias("s")) if not sets.groupBy("doc_id").count().filter("count > 1").isEmpty() else \
-        sets.select("doc_id", F.struct("same", "full").alias("s"))
-    side = lambda x: one.select(F.col("doc_id").alias(x), F.col("s.full").alias(f"f_{x}"))
+    one = _one_text(among(_texts(docs), "doc_id", pairs.select("a").union(pairs.select("b"))))
+    side = lambda x: one.select(F.col("doc_id").alias(x), F.col("full").alias(f"f_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("f_a", "f_b"))
     return joined.filter(100 * shared >= 75 * (F.size("f_a") + F.size("f_b") - shared)).select("a", "b").distinct()
@@ -166,63 +180,77 @@ def _fits(n_a: Column, n_b: Column) -> Column:
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components within a block of a long list, or across two, whose bitmaps can belong to a linked pair."""
+    """Links within a block of a group of long lists, or across two blocks: one for each pair of components that the block can join.
+
+    Pairs that lie in one component already are passed over, bitmaps that cannot belong to a linked pair rule out most
+    others, and what is left is settled on the full sets. So no pairs leave the block but links that are needed.
+    """
     bounds = np.array(least_shared()[1])
     held: list[pd.DataFrame] = []
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
         one, two = int(rows["p"].iloc[0]), int(rows["q"].iloc[0])
         left, right = rows[rows["own"] == one], rows[rows["own"] == two]
         a_bits, b_bits = (np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), -1) for x in (left, right))
-        a_n, b_n, a_c, b_c, a_id, b_id = (x[c].to_numpy() for c in ("n", "component", "id") for x in (left, right))
+        a_n, b_n, a_id, b_id = (x[c].to_numpy() for c in ("n", "id") for x in (left, right))
+        names, numbers = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        label = np.arange(len(names))  # of each component in this block, as links are found
+        own = numbers.reshape(-1)
+        a_c, b_c = own[(rows["own"] == one).to_numpy()], own[(rows["own"] == two).to_numpy()]
+        a_set, b_set = left["full"].tolist(), right["full"].tolist()
         found = []
         for i in range(len(left)):
-            ok = (b_c != a_c[i]) & (3 * np.maximum(a_n[i], b_n) <= 4 * np.minimum(a_n[i], b_n))
+            ok = (label[b_c] != label[a_c[i]]) & (3 * np.maximum(a_n[i], b_n) <= 4 * np.minimum(a_n[i], b_n))
             if one == two:
                 ok &= b_id > a_id[i]
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            differ = np.bitwise_count(b_bits[at] ^ a_bits[i]).sum(1, dtype=np.int64)
             n = b_n[at]
             least = np.where((n <= K) & (a_n[i] <= K), -(-3 * (n + a_n[i]) // 7), bounds[np.minimum(np.minimum(n, a_n[i]), SURE_UPTO) - 1])
-            at = at[differ <= np.minimum(n, K) + min(a_n[i], K) - 2 * least]
-            found.append(np.stack([np.minimum(a_id[i], b_id[at]), np.maximum(a_id[i], b_id[at])], 1))
-        out = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+            differ = np.bitwise_count(b_bits[at] ^ a_bits[i]).sum(1, dtype=np.int64)
+            for j in at[differ <= np.minimum(n, K) + min(a_n[i], K) - 2 * least].tolist():
+                if label[b_c[j]] == label[a_c[i]]:
+                    continue
+                shared = len(np.intersect1d(a_set[i], b_set[j], assume_unique=True))
+                if 100 * shared >= 75 * (a_n[i] + b_n[j] - shared):
+                    found.append((min(a_id[i], b_id[j]), max(a_id[i], b_id[j])))
+                    label[label == label[b_c[j]]] = label[a_c[i]]
+        return pd.DataFrame({"a": np.array([x for x, _ in found], np.int64), "b": np.array([x for _, x in found], np.int64)})
 
     for frame in frames:
-        for _, rows in frame.groupby(["value", "p", "q"], sort=False):
-            if held and any(held[0][c].iloc[0] != rows[c].iloc[0] for c in ("value", "p", "q")):
-                yield pairs(pd.concat(held))
+        for _, rows in frame.groupby(["group", "p", "q"], sort=False):
+            if held and any(held[0][c].iloc[0] != rows[c].iloc[0] for c in ("group", "p", "q")):
+                yield settle(pd.concat(held))
                 held = []
             held.append(rows)
     if held:
-        yield pairs(pd.concat(held))
+        yield settle(pd.concat(held))
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a``, ``b``: links that connect every component of classes. ``classes`` has ``id``, ``n``, ``sketch``, ``bits``."""
+    """``a``, ``b``: links that connect every component of classes. ``classes`` has ``id``, ``n``, ``sketch``."""
     lists = inverted_lists(classes)
     short, long_ = lists.filter(F.col("length") <= SHORT_LIST), lists.filter(F.col("length") > SHORT_LIST)
     x, y = short.filter("index").alias("x"), short.alias("y")
     pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & _fits(F.col("x.n"), F.col("y.n")))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     hubs = long_.groupBy("value").agg(F.min(F.struct("id", "n")).alias("hub"))
-    stars = long_.join(hubs, "value").filter((F.col("hub.id") != F.col("id")) & _fits(F.col("hub.n"), F.col("n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-    found = cut_lineage(_confirmed(_estimated(pairs.union(stars).distinct(), classes), docs))
-    known = components(found)
-    labelled = long_.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = cut_lineage(labelled)
-    apart = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
-    blocks = F.ceil(F.col("length") / BLOCK)
-    rest = cut_lineage(labelled.join(apart, "value").withColumn("own", F.pmod(F.xxhash64("id"), blocks)))
-    rest = rest.join(among(classes.select("id", "bits"), "id", rest.select("id")), "id")
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = rest.select("value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "n", "component", "bits")
-    dealt = rest.repartition("value", "p", "q").sortWithinPartitions("value", "p", "q")
-    more = dealt.mapInPandas(_compare, "a long, b long").distinct()
-    return found.union(_confirmed(_estimated(more, classes), docs))
+    stars = cut_lineage(long_.join(hubs, "value").filter(F.col("hub.id") != F.col("id")).select(
+        F.col("hub.id").alias("a"), F.col("id").alias("b"), _fits(F.col("hub.n"), F.col("n")).alias("fits")).distinct())
+    found = cut_lineage(_confirmed(_estimated(pairs.union(stars.filter("fits").select("a", "b")).distinct(), classes), docs))
+    # documents that meet in long lists, directly or over others, are one group; where it is linked as a whole nothing is left to do
+    groups = components(stars).select("id", F.col("component").alias("group"))
+    labelled = cut_lineage(groups.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    apart = labelled.groupBy("group").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    rest = cut_lineage(labelled.join(apart.select("group", "members"), "group").select(
+        "id", "group", "component", F.pmod(F.xxhash64("id"), blocks).alias("own"), F.sequence(F.lit(0).cast("long"), blocks - 1).alias("others")))
+    sets = _one_text(among(_texts(docs), "doc_id", rest.select("id")))
+    dealt = rest.join(sets.withColumnRenamed("doc_id", "id"), "id").withColumn("other", F.explode("others")).select(
+        "group", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", F.size("full").alias("n"), "component", "bits", "full")
+    ordered = dealt.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q")
+    return found.union(ordered.mapInPandas(_compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -234,14 +262,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with a NULL doc_id cannot be named as a representative: it stays alone (``component_id`` NULL, ``kept`` true).
     Rows that repeat a doc_id share its component; should their texts differ, the one of the smallest digest is compared. Other columns are left aside; an empty table gives an empty result.
     """
-    sketched = cut_lineage(_texts(docs).mapInArrow(_sketches, "doc_id long, n long, same binary, sketch array<long>, bits binary"))
+    sketched = cut_lineage(_texts(docs).mapInArrow(_sketches, "doc_id long, n long, same binary, sketch array<long>"))
     named = sketched.filter("n > 0 AND doc_id IS NOT NULL")
     rows = cut_lineage(named.groupBy("same", "doc_id").agg(F.count("*").alias("copies")))
     members = cut_lineage(rows.join(rows.groupBy("same").agg(F.min("doc_id").alias("id")), "same"))
     others = members.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    classes = among(named, "doc_id", others.select("b"), "left_anti").select(F.col("doc_id").alias("id"), "n", "same", "sketch", "bits")
+    classes = among(named, "doc_id", others.select("b"), "left_anti").select(F.col("doc_id").alias("id"), "n", "same", "sketch")
     if not members.groupBy("doc_id").agg(F.sum("copies").alias("rows")).filter("rows > 1").isEmpty():  # else every id has one row
-        classes = classes.groupBy("id").agg(F.min(F.struct("same", "n", "sketch", "bits")).alias("c")).select("id", "c.*")
+        classes = classes.groupBy("id").agg(F.min(F.struct("same", "n", "sketch")).alias("c")).select("id", "c.*")
     classes = cut_lineage(classes)
     labels = cut_lineage(components(links(docs, classes).union(others)))
     component = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
