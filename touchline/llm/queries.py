@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from touchline.llm import mixing, near_dedup, packing, quality_cnn, quality_rules, token_counts, toxicity, warc, winnowing
+from touchline.llm import licenses, mixing, near_dedup, packing, quality_cnn, quality_rules, token_counts, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,11 @@ def _(spark, sf_dir):
     return token_counts.tokenize_and_count(documents(spark, sf_dir))
 
 
+@query("op9_license_scan")
+def _(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
