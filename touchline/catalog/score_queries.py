@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from touchline.catalog.event_queries import INVOLVED, MINUTES
 from touchline.catalog.registry import query
 from touchline.functions import scale
 from touchline.operators import rollup, scoring, season, xg
@@ -20,25 +21,11 @@ def _chain_rows(t):
     return season.with_season_year(xg.xg_chain(t.v_events, t.v_matches, t.v_lineups))
 
 
-CHAIN = """mins AS (
-  SELECT match_id, team, player, CAST(ROUND_EVEN(GREATEST(SUM(b - a), 0) / 60.0, 0) AS INT) AS minutes_played FROM (
-    SELECT l.match_id, l.team_name AS team, l.player_name AS player,
-      COALESCE(SPLIT_PART(from_time, ':', 1)::INT * 60 + SPLIT_PART(from_time, ':', 2)::DOUBLE, 0) AS a,
-      COALESCE(SPLIT_PART(to_time, ':', 1)::INT * 60 + SPLIT_PART(to_time, ':', 2)::DOUBLE, d.s) AS b
-    FROM v_lineups l JOIN (SELECT match_id, MAX(minute * 60 + second) AS s FROM v_events GROUP BY match_id) d USING (match_id)
-    WHERE l.player_name IS NOT NULL AND l.from_time IS NOT NULL) q GROUP BY ALL),
- sp AS (SELECT match_id, possession, team, MAX(shot_statsbomb_xg) AS px, COUNT(*) AS ns, COUNT(*) FILTER (WHERE shot_outcome = 'Goal') AS ng
-   FROM v_events WHERE type = 'Shot' AND shot_statsbomb_xg IS NOT NULL GROUP BY ALL),
- pt AS (SELECT match_id, possession, team, player, COUNT(*) AS n FROM v_events JOIN sp USING (match_id, possession, team)
-   WHERE player IS NOT NULL AND type IN ('Pass','Carry','Dribble','Shot') GROUP BY ALL),
- tx AS (SELECT match_id, team, SUM(px) AS tot FROM sp GROUP BY ALL),
- xc AS (SELECT match_id, team, player, COUNT(*) AS possessions_with_shot, ROUND(SUM(px), 3) AS xg_chain, SUM(ns) AS shots_in_chain,
-   SUM(ng) AS goals_in_chain, ROUND(AVG(px), 3) AS avg_xg_per_possession, SUM(n) AS total_touches_in_chains
-   FROM pt JOIN sp USING (match_id, possession, team) GROUP BY ALL),
+CHAIN = f"""{MINUTES}, {INVOLVED},
  ch AS (SELECT season_name, (CASE WHEN season_name LIKE '%/%' THEN SPLIT_PART(season_name, '/', 2) ELSE season_name END)::INT AS season_year,
-   xc.*, COALESCE(minutes_played, 0) AS minutes_played, ROUND(xg_chain * 90e0 / NULLIF(minutes_played, 0), 3) AS xg_chain_per90,
-   ROUND(xg_chain * 100e0 / NULLIF(tot, 0), 2) AS team_involvement_pct
-  FROM xc LEFT JOIN mins USING (match_id, team, player) LEFT JOIN tx USING (match_id, team) LEFT JOIN v_matches USING (match_id)),
+   chain.*, COALESCE(minutes_played, 0) AS minutes_played, ROUND(xg_chain * 90e0 / NULLIF(minutes_played, 0), 3) AS xg_chain_per90,
+   ROUND(xg_chain * 100e0 / NULLIF(whole, 0), 2) AS team_involvement_pct
+  FROM chain LEFT JOIN mins USING (match_id, team, player) LEFT JOIN side_xg USING (match_id, team) LEFT JOIN v_matches USING (match_id)),
  sea AS (SELECT player, team, season_name, season_year, SUM(possessions_with_shot)::BIGINT AS possessions_with_shot, ROUND(SUM(xg_chain), 3) AS xg_chain,
    SUM(shots_in_chain)::BIGINT AS shots_in_chain, SUM(goals_in_chain)::BIGINT AS goals_in_chain,
    SUM(total_touches_in_chains)::BIGINT AS total_touches_in_chains, SUM(minutes_played)::BIGINT AS minutes_played,

@@ -15,36 +15,58 @@ from pyspark.sql.types import DoubleType
 # Executors need not have the package installed: the small functions below travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_ITERATIONS = 300
+def _stirling_rest(z: np.ndarray) -> np.ndarray:
+    """log Gamma(z) without z log z - z - log(z) / 2 + log(2 pi) / 2, after shifting the argument above 10."""
+    rest, x = np.zeros_like(z), z.copy()
+    while (low := x < 10).any():
+        # the rest falls by (x + 1/2) log1p(1/x) - 1 from x to x + 1
+        rest = rest + np.where(low, (x + 0.5) * np.log1p(1 / x) - 1, 0.0)
+        x = np.where(low, x + 1, x)
+    return rest + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling series after shifting the argument above 8."""
-    shift = np.zeros_like(x)
-    for _ in range(8):
-        low = x < 8
-        shift = shift + np.where(low, np.log(x), 0.0)
-        x = np.where(low, x + 1, x)
-    inv = 1 / x
-    series = inv / 12 - inv**3 / 360 + inv**5 / 1260 - inv**7 / 1680
-    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
+def _log1p_less(u: np.ndarray) -> np.ndarray:
+    """log(1 + u) - u without cancellation at small u."""
+    near = np.abs(u) < 0.05
+    v = np.where(near, u, 0.0)
+    r = v / (2 + v)
+    series = r * (2 * r * r * (1 / 3 + r * r * (1 / 5 + r * r * (1 / 7 + r * r * (1 / 9 + r * r / 11)))) - v)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(near, series, np.log1p(np.where(near, 0.0, u)) - np.where(near, 0.0, u))
+
 
+def regularised_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    """I_x(a, b) by Lentz's continued fraction of the smaller tail; ``y`` is 1 - x where that is known exactly.
 
-def regularised_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """I_x(a, b) as a power series of the smaller tail."""
-    x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
+    The fraction settles within a few times sqrt(max(a, b)) steps. A value that has not settled by then is NaN, never
+    a sum cut short. The factor before it is taken relative to the mean, so that large degrees lose no digits.
+    """
+    y = 1 - np.asarray(x, dtype=float) if y is None else y
+    x, y, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, y, a, b)))
     flip = x > (a + 1) / (a + b + 2)
-    y, p, q = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    x, y, a, b = np.where(flip, y, x), np.where(flip, x, y), np.where(flip, b, a), np.where(flip, a, b)
+    n = a + b
+    off = (x * b - y * a) / n  # x less the mean a / n
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(_log_gamma(p + q) - _log_gamma(p + 1) - _log_gamma(q) + p * np.log(y) + q * np.log1p(-y))
-    # 2F1(1, p+q; p+1; y) summed term by term; y is under the mean, so the terms fall
-    term, total = np.ones_like(y), np.ones_like(y)
-    for n in range(_ITERATIONS * 20):
-        term = term * (p + q + n) / (p + 1 + n) * y
-        total = total + term
-        if np.all(np.abs(term) <= 1e-15 * np.abs(total)):
+        front = np.exp(a * _log1p_less(off * n / a) + b * _log1p_less(-off * n / b) + 0.5 * np.log(a / (n * 2 * np.pi) * b)
+                       + _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b)) / a
+    tiny = 1e-300
+    d = 1 - n * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    c, value, open_ = np.ones_like(x), d.copy(), (x > 0) & (y >= 0)
+    steps = int(500 + 20 * np.sqrt(max(1.0, np.max(np.where(np.isfinite(n), n, 0.0), initial=1.0))))
+    for m in range(1, steps):
+        if not open_.any():
             break
-    part = np.where(y <= 0, 0.0, front * total)
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (n + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + top / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            change = c * d
+            value = np.where(open_, value * change, value)
+        open_ = open_ & (np.abs(change - 1) > 1e-15)
+    part = np.where(x <= 0, 0.0, np.where(open_, np.nan, front * value))
     return np.where(flip, 1 - part, part)
 
 
@@ -54,7 +76,8 @@ def _f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     ok = f.notna() & (d1 > 0) & (d2 > 0)
     out = pd.Series(np.nan, index=f.index)
     if ok.any():
-        v = regularised_beta(d2[ok] / (d2[ok] + d1[ok] * f[ok]), d2[ok] / 2, d1[ok] / 2)
+        whole = d2[ok] + d1[ok] * f[ok]
+        v = regularised_beta(d2[ok] / whole, d2[ok] / 2, d1[ok] / 2, d1[ok] * f[ok] / whole)
         out[ok] = v
     return out
 

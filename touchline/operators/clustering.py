@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import permutations
+from math import exp
 
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -146,15 +146,17 @@ def fit_mixture(df: DataFrame, k: int, seed: int = 42, n_init: int = 20) -> Data
 def align_labels(rows: DataFrame, a: str, b: str, k: int) -> dict[int, int]:
     """One-to-one map of b's labels onto a's with the largest agreement, from the k x k counts."""
     counts = {(r[a], r[b]): r["n"] for r in rows.groupBy(a, b).agg(F.count("*").alias("n")).collect()}
-    if k <= 7:
-        best = max(permutations(range(k)), key=lambda p: sum(counts.get((p[j], j), 0) for j in range(k)))
-        return dict(enumerate(best))
-    out: dict[int, int] = {}
-    for (x, y), _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0])):
-        if y not in out and x not in out.values():
-            out[y] = x
-    free = [x for x in range(k) if x not in out.values()]
-    return out | {y: free.pop(0) for y in range(k) if y not in out}
+    best: dict[int, tuple[int, tuple[int, ...]]] = {0: (0, ())}
+    for y in range(k):  # the best way to give the first labels of b each set of a's labels, set by set
+        nxt: dict[int, tuple[int, tuple[int, ...]]] = {}
+        for used, (total, chosen) in best.items():
+            for x in range(k):
+                if not used >> x & 1:
+                    found = (total + counts.get((x, y), 0), chosen + (x,))
+                    if used | 1 << x not in nxt or found[0] > nxt[used | 1 << x][0]:
+                        nxt[used | 1 << x] = found
+        best = nxt
+    return dict(enumerate(best[(1 << k) - 1][1]))
 
 
 def mixture_probabilities(rows: DataFrame, k: int, label: str = "cluster", seed: int = 42, n_init: int = 20) -> DataFrame:
@@ -311,8 +313,13 @@ def decision_matrix(sweep: DataFrame) -> DataFrame:
 def bootstrap_weight(key: Column, resample: int, seed: int) -> Column:
     """Poisson(1) multiplicity from a hash of the row key: each row draws its own count."""
     u = (F.xxhash64(key, F.lit(seed), F.lit(resample)).bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
-    steps = [(0.36787944, 0), (0.73575888, 1), (0.91969860, 2), (0.98101184, 3), (0.99634015, 4), (0.99940581, 5)]
-    return reduce(lambda a, b: a.when(u < b[0], float(b[1])), steps[1:], F.when(u < steps[0][0], 0.0)).otherwise(6.0)
+    # the cumulative distribution up to the last step that a number of 40 bits can tell from 1
+    below, mass, steps = 0.0, exp(-1.0), []
+    while 1 - below > 2.0**-41 and len(steps) < 20:
+        below += mass
+        steps.append(below)
+        mass /= len(steps)
+    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u)).cast("double")
 
 
 def bootstrap_labels(df: DataFrame, key: str, n_bootstrap: int = 100, k: int = 6, seed: int = 42, n_init: int = 10) -> DataFrame:

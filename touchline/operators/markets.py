@@ -296,24 +296,32 @@ def brier(p: str, y: str) -> Column:
     return F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y)))
 
 
-def xg_win_probability(df: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
+def xg_win_probability(df: DataFrame, a: str, b: str) -> DataFrame:
     """Win, draw and loss probabilities of two independent Poisson scores.
 
-    Both probability functions are carried along the goals in one fold; at 60 goals the
-    rest of the tail is below the precision of a double for any plausible mean.
+    Goals are summed from 0 to twelve deviations above the larger mean of the row, where the rest of both tails is
+    below the precision of a double. Each term comes from its logarithm, so that no mean is too large to start from,
+    and win and loss are sums of their own.
     """
     la, lb = F.col(a).cast("double"), F.col(b).cast("double")
-    ok = la.isNotNull() & lb.isNotNull()
-    start = F.struct(F.exp(-la).alias("pa"), F.exp(-lb).alias("pb"), F.lit(0.0).alias("below"), F.lit(0.0).alias("win"), F.lit(0.0).alias("draw"))
+    ok = la.isNotNull() & lb.isNotNull() & (la >= 0) & (lb >= 0)
+    high = F.greatest(la, lb)
+    last = F.ceil(high + 12 * F.sqrt(high) + 30).cast("int")
+
+    def term(mean: Column, i: Column, log_factorial: Column) -> Column:
+        return F.when(mean > 0, F.exp(i * F.log(mean) - mean - log_factorial)).otherwise(F.when(i == 0, 1.0).otherwise(0.0))
+
+    start = F.struct(*[F.lit(0.0).alias(n) for n in ("fact", "below_a", "below_b", "win", "draw", "loss")])
 
     def step(s, i):
-        win, draw, below = s["win"] + s["pa"] * s["below"], s["draw"] + s["pa"] * s["pb"], s["below"] + s["pb"]
-        return F.struct((s["pa"] * la / i).alias("pa"), (s["pb"] * lb / i).alias("pb"), below.alias("below"), win.alias("win"), draw.alias("draw"))
+        fact = s["fact"] + F.when(i > 0, F.log(i.cast("double"))).otherwise(0.0)
+        pa, pb = term(la, i, fact), term(lb, i, fact)
+        return F.struct(fact.alias("fact"), (s["below_a"] + pa).alias("below_a"), (s["below_b"] + pb).alias("below_b"), (s["win"] + pa * s["below_b"]).alias("win"),
+                        (s["draw"] + pa * pb).alias("draw"), (s["loss"] + pb * s["below_a"]).alias("loss"))
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(most + 1)), start, step)
+    folded = F.aggregate(F.sequence(F.lit(0), last), start, step)
     df = df.withColumn("_f", F.when(ok, folded))
-    return df.withColumn("p_win", F.col("_f.win")).withColumn("p_draw", F.col("_f.draw")).withColumn(
-        "p_loss", 1.0 - F.col("_f.win") - F.col("_f.draw")).drop("_f")
+    return df.withColumn("p_win", F.col("_f.win")).withColumn("p_draw", F.col("_f.draw")).withColumn("p_loss", F.col("_f.loss")).drop("_f")
 
 
 def value_edge(p: Column, price: Column) -> Column:

@@ -26,15 +26,15 @@ def _packed(events, three_sixty, match_id) -> DataFrame:
         F.col("pass_end_location_x").alias("x1"), F.col("pass_end_location_y").alias("y1"),
         F.coalesce((gain >= 10) | in_box(F.col("pass_end_location_x"), F.col("pass_end_location_y")), F.lit(False)).alias("prog"),
     )
-    opponents = three_sixty.filter(
+    opponents = in_match(three_sixty, match_id).filter(
         (F.col("teammate") == F.lit(False)) & (F.col("actor") == F.lit(False)) & (F.col("keeper") == F.lit(False))
-    ).select("event_uuid", F.col("location_x").alias("ox"), F.col("location_y").alias("oy"))
+    ).select("match_id", "event_uuid", F.col("location_x").alias("ox"), F.col("location_y").alias("oy"))
     inside = F.col("ox").between(F.least("x0", "x1"), F.greatest("x0", "x1")) & F.col("oy").between(
         F.least("y0", "y1"), F.greatest("y0", "y1")
     )
     spot = F.when(F.col("ox").isNotNull() & F.col("oy").isNotNull(), F.struct("ox", "oy"))
     return (
-        passes.join(opponents, "event_uuid", "left")
+        passes.join(opponents, ["match_id", "event_uuid"], "left")
         .filter(F.col("ox").isNull() | inside)
         .groupBy("event_uuid", *KEYS, "prog", "x0").agg(F.count_distinct(spot).alias("packed"))
     )

@@ -272,16 +272,18 @@ def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
 def player_consistency(rows: DataFrame, value: str, min_mins: float = 400, min_matches: int = 5) -> DataFrame:
     """Mean, deviation and coefficient of variation per player over qualifying (player, team) groups.
 
-    Moments of the (player, team) groups are combined, so the rows are read once.
+    Means and squared deviations of the (player, team) groups are combined about the mean of all of them, so the rows
+    are read once and large values lose no digits.
     """
     v = F.col(value)
     groups = rows.groupBy("player", "team").agg(
-        F.count("*").alias("rows"), F.sum("minutes_played").alias("mins"), F.count(v).alias("k"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    kept = groups.filter((F.col("rows") >= min_matches) & (F.col("mins") >= min_mins)).groupBy("player").agg(
-        F.sum("k").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    mean = F.col("s") / F.nullif(F.col("n").cast("double"), F.lit(0.0))
-    var = (F.col("q") - F.col("s") * mean) / F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0))
-    out = kept.select("player", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), "n")
+        F.count("*").alias("rows"), F.sum("minutes_played").alias("mins"), F.count(v).alias("k"), F.avg(v).alias("m"), F.var_pop(v).alias("v"))
+    kept = groups.filter((F.col("rows") >= min_matches) & (F.col("mins") >= min_mins) & (F.col("k") > 0))
+    parts = kept.groupBy("player").agg(F.sum("k").alias("n"), F.collect_list(F.struct("k", "m", "v")).alias("parts"))  # one part per team of a player
+    mean = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["m"] * p["k"] / F.col("n"))
+    centred = parts.withColumn("mean", mean)
+    squares = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["k"] * (p["v"] + (p["m"] - F.col("mean")) * (p["m"] - F.col("mean"))))
+    out = centred.select("player", "mean", F.sqrt(squares / F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0))).alias("std"), "n")
     return out.withColumn("cv", F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))).filter(F.col("cv").isNotNull() & F.col("std").isNotNull())
 
 

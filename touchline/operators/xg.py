@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,15 @@ PLAYER = ["match_id", "team", "player"]
 XG = "shot_statsbomb_xg"
 
 
+def total(xg: Column) -> Column:
+    """Aggregate: sum of expected goals as decimals of ten places, so that the order of the rows cannot matter."""
+    return F.sum(xg.cast("decimal(28,10)")).cast("double")
+
+
+def mean(xg: Column) -> Column:
+    return total(xg) / F.nullif(F.count(xg).cast("double"), F.lit(0.0))
+
+
 def _shots(events, match_id=None):
     return in_match(events, match_id).filter((F.col("type") == "Shot") & F.col(XG).isNotNull())
 
@@ -23,11 +32,11 @@ def xg_by_team(events, matches=None, match_id=None) -> DataFrame:
     goal, open_shot = F.col("shot_outcome") == "Goal", F.col("shot_type") != "Penalty"
     out = _shots(events, match_id).groupBy(*SIDE).agg(
         F.count("*").alias("total_shots"),
-        F.round(F.sum(XG), 3).alias("total_xg"),
-        F.round(F.sum(F.when(open_shot, F.col(XG)).otherwise(0.0)), 3).alias("npxg"),
+        F.round(total(F.col(XG)), 3).alias("total_xg"),
+        F.round(total(F.when(open_shot, F.col(XG)).otherwise(0.0)), 3).alias("npxg"),
         sum_flag(goal).alias("total_goals"),
         sum_flag(goal & open_shot).alias("np_goals"),
-        F.round(F.avg(F.when(open_shot, F.col(XG))), 3).alias("avg_npxg_per_shot"),
+        F.round(mean(F.when(open_shot, F.col(XG))), 3).alias("avg_npxg_per_shot"),
     )
     return with_season(out, matches)
 
@@ -37,7 +46,7 @@ def xg_by_player(events, matches=None, match_id=None, min_shots: int = 3) -> Dat
     shots = in_match(events, match_id).filter((F.col("type") == "Shot") & F.col("player").isNotNull())
     # One row per match first: the season join and the distinct match count then see few rows.
     per_match = shots.groupBy(*PLAYER).agg(
-        F.count("*").alias("shots"), F.sum(XG).alias("xg"), sum_flag(F.col("shot_outcome") == "Goal").alias("goals")
+        F.count("*").alias("shots"), total(F.col(XG)).alias("xg"), sum_flag(F.col("shot_outcome") == "Goal").alias("goals")
     )
     keys = ["player", "team"]
     if matches is not None:
@@ -47,8 +56,8 @@ def xg_by_player(events, matches=None, match_id=None, min_shots: int = 3) -> Dat
         per_match.groupBy(*keys)
         .agg(
             F.count("*").alias("matches"), F.sum("shots").alias("shots"),
-            F.round(F.sum("xg"), 2).alias("xg"), F.sum("goals").alias("goals"),
-            F.round(F.sum("goals") - F.sum("xg"), 2).alias("goals_minus_xg"),
+            F.round(total(F.col("xg")), 2).alias("xg"), F.sum("goals").alias("goals"),
+            F.round(F.sum("goals") - total(F.col("xg")), 2).alias("goals_minus_xg"),
         )
         .filter(F.col("shots") >= min_shots)
     )
@@ -69,15 +78,15 @@ def xg_chain(events, matches=None, lineups=None, match_id=None, min_touches: int
         touches.join(runs, RUN).groupBy(*PLAYER)
         .agg(
             F.count("*").alias("possessions_with_shot"),
-            F.round(F.sum("run_xg"), 3).alias("xg_chain"),
+            F.round(total(F.col("run_xg")), 3).alias("xg_chain"),
             F.sum("run_shots").alias("shots_in_chain"),
             F.sum("run_goals").alias("goals_in_chain"),
-            F.round(F.avg("run_xg"), 3).alias("avg_xg_per_possession"),
+            F.round(mean(F.col("run_xg")), 3).alias("avg_xg_per_possession"),
             F.sum("touches").alias("total_touches_in_chains"),
         )
         .filter(F.col("total_touches_in_chains") >= min_touches)
     )
-    team = runs.groupBy(*SIDE).agg(F.sum("run_xg").alias("team_total_xg"))
+    team = runs.groupBy(*SIDE).agg(total(F.col("run_xg")).alias("team_total_xg"))
     out = _with_minutes(players, lineups, events).join(team, SIDE, "left")
     out = out.withColumn("xg_chain_per90", ratio(F.col("xg_chain"), F.col("minutes_played"), 3, 90.0)).withColumn(
         "team_involvement_pct", ratio(F.col("xg_chain"), F.col("team_total_xg"), 2, 100.0)
@@ -110,7 +119,7 @@ def xg_buildup(events, matches=None, lineups=None, match_id=None, min_touches: i
     )
     runs = shot_rows.groupBy(*RUN).agg(
         F.count("*").alias("run_rows"), sum_flag(F.col("player").isNotNull()).alias("named_rows"),
-        F.sum("shot_xg").alias("run_xg"),
+        total(F.col("shot_xg")).alias("run_xg"),
     )
     own = shot_rows.filter(F.col("player").isNotNull()).groupBy(*RUN, "player").agg(F.count("*").alias("own_rows"))
     touches = (
@@ -126,7 +135,7 @@ def xg_buildup(events, matches=None, lineups=None, match_id=None, min_touches: i
         touches.groupBy(*PLAYER)
         .agg(
             F.count("*").alias("possessions_with_buildup"),
-            F.sum("run_xg").alias("xg_sum"),
+            total(F.col("run_xg")).alias("xg_sum"),
             F.sum("run_rows").alias("rows"),
             F.sum(F.col("touches") * F.col("run_rows")).alias("total_touches_in_buildup"),
         )
@@ -147,7 +156,7 @@ def team_xg_buildup(events, matches=None, match_id=None) -> DataFrame:
     keys = (["season_name"] if matches is not None else []) + SIDE
     out = players.groupBy(*keys).agg(
         F.sum("possessions_with_buildup").alias("buildup_possessions"),
-        F.round(F.sum("xg_buildup"), 3).alias("total_xg_from_buildup"),
+        F.round(total(F.col("xg_buildup")), 3).alias("total_xg_from_buildup"),
         F.sum("total_touches_in_buildup").alias("total_touches_in_buildup"),
     )
     return out.withColumn(
@@ -160,7 +169,7 @@ def team_xg_buildup(events, matches=None, match_id=None) -> DataFrame:
 def team_xg(events) -> DataFrame:
     """Total and mean xG and shots per team over all events."""
     return _shots(events).groupBy("team").agg(
-        F.round(F.sum(XG), 3).alias("total_xg"), F.round(F.avg(XG), 3).alias("avg_xg_per_shot"),
+        F.round(total(F.col(XG)), 3).alias("total_xg"), F.round(mean(F.col(XG)), 3).alias("avg_xg_per_shot"),
         F.count("*").alias("total_shots"),
     )
 
