@@ -40,7 +40,7 @@ SURE_UPTO = 4 * K  # set sizes whose bounds are listed; larger sets take that of
 BITS = 1024
 SHORT_LIST = 16
 BLOCK = 2048
-BROADCAST_VALUES = 1_000_000  # (value, count) rows of 16 bytes, up to which they are broadcast
+BROADCAST_IDS = 1_000_000  # ids of 8 bytes, up to which they are broadcast
 
 
 def _tail(union: int, draws: int) -> int:
@@ -122,8 +122,7 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     """
     postings = classes.select("id", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     often = cut_lineage(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
-    few = often.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    shared = postings.join(F.broadcast(often) if few else often, "value")
+    shared = postings.join(often, "value")
     mine = W.partitionBy("id")
     placed = shared.withColumn("place", F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "value")))
     first = lambda which: F.col("place") <= F.col("size") - _bound(which, F.col("n")) + 1
@@ -149,10 +148,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def among(table: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``table`` whose ``key`` is in the one column of ``ids`` (or, ``left_anti``, is not).
 
-    Up to :data:`BROADCAST_VALUES` ids are broadcast, so that wide rows stay where they are; more are joined by key.
+    Up to :data:`BROADCAST_IDS` ids are broadcast, so that wide rows stay where they are; more are joined by key.
     """
     ids = cut_lineage(ids.toDF("_id").distinct())
-    if ids.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return table.join(ids, F.col(key) == F.col("_id"), how)
 
@@ -269,8 +268,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others = members.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     classes = among(named, "doc_id", others.select("b"), "left_anti").select(F.col("doc_id").alias("id"), "n", "same", "sketch")
     if not members.groupBy("doc_id").agg(F.sum("copies").alias("rows")).filter("rows > 1").isEmpty():  # else every id has one row
-        classes = classes.groupBy("id").agg(F.min(F.struct("same", "n", "sketch")).alias("c")).select("id", "c.*")
-    classes = cut_lineage(classes)
+        classes = cut_lineage(classes.groupBy("id").agg(F.min(F.struct("same", "n", "sketch")).alias("c")).select("id", "c.*"))
     labels = cut_lineage(components(links(docs, classes).union(others)))
     component = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return component.select(
