@@ -174,22 +174,21 @@ SELECT CASE WHEN n_nationkey = 3 THEN 'Three' ELSE n_name END AS team, n_nationk
 
 
 def _progress(t):
-    return t.orders.select(F.concat(F.lit("T"), F.col("o_custkey") % 500).alias("team"), F.col("o_orderpriority").alias("tournament"), (F.col("o_orderkey") * 7 % 6).cast("int").alias("score"))
+    return t.orders.select(F.concat(F.lit("T"), F.col("o_custkey")).alias("team"), F.col("o_orderpriority").alias("tournament"), (F.col("o_orderkey") * 7 % 6).cast("int").alias("score"))
 
 
-PROG = """rs AS (SELECT 'T' || (o_custkey % 500) AS team, o_orderpriority AS tournament, (o_orderkey * 7 % 6)::INT AS score FROM orders),
+PROG = """rs AS (SELECT 'T' || o_custkey AS team, o_orderpriority AS tournament, (o_orderkey * 7 % 6)::INT AS score FROM orders),
  bp AS (SELECT team, MAX(score) AS progression_score, ARG_MIN(tournament, (-score, tournament)) AS best_tournament FROM rs GROUP BY team)"""
-PROFILES = "pf AS (SELECT 'T' || k AS team, k % 4 AS cluster FROM (SELECT UNNEST(RANGE(0, 600)) AS k) z)"
 
 
 def _profiles(t):
-    return t.customer.filter("c_custkey < 600").select(F.concat(F.lit("T"), F.col("c_custkey")).alias("team"), (F.col("c_custkey") % 4).alias("cluster"))
+    return t.customer.select(F.concat(F.lit("T"), F.col("c_custkey")).alias("team"), (F.col("c_custkey") % 4).alias("cluster"))
 
 
-PROFILES = "pf AS (SELECT 'T' || c_custkey AS team, c_custkey % 4 AS cluster FROM customer WHERE c_custkey < 600)"
-query("c21_archetype_success", lambda t: validation.archetype_success(_profiles(t), t.orders.filter("o_orderkey < 500").select(
-    F.concat(F.lit("T"), F.col("o_orderkey")).alias("team"), (F.col("o_custkey") % 6).cast("int").alias("progression_score"))), f"""
-WITH {PROFILES}, j AS (SELECT cluster, COALESCE(o_custkey % 6, 0) AS s FROM pf LEFT JOIN (SELECT * FROM orders WHERE o_orderkey < 500) o ON team = 'T' || o_orderkey)
+PROFILES = "pf AS (SELECT 'T' || c_custkey AS team, c_custkey % 4 AS cluster FROM customer)"
+query("c21_archetype_success", lambda t: validation.archetype_success(_profiles(t), t.orders.select(
+    F.concat(F.lit("T"), F.col("o_custkey")).alias("team"), (F.col("o_orderkey") % 6).cast("int").alias("progression_score"))), f"""
+WITH {PROFILES}, j AS (SELECT cluster, COALESCE(o_orderkey % 6, 0) AS s FROM pf LEFT JOIN orders ON team = 'T' || o_custkey)
 SELECT cluster, ROUND(AVG(s), 3) AS avg_progression, ROUND(STDDEV_SAMP(s), 3) AS std_progression, COUNT(*) AS n_teams, MIN(s)::INT AS min_progression, MAX(s)::INT AS max_progression,
   ROUND(COUNT(*) FILTER (WHERE s >= 1) * 100e0 / COUNT(*), 4) AS r16_plus_pct, ROUND(COUNT(*) FILTER (WHERE s >= 2) * 100e0 / COUNT(*), 4) AS qf_plus_pct,
   ROUND(COUNT(*) FILTER (WHERE s >= 3) * 100e0 / COUNT(*), 4) AS sf_plus_pct, ROUND(COUNT(*) FILTER (WHERE s >= 4) * 100e0 / COUNT(*), 4) AS final_plus_pct,

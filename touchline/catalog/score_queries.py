@@ -258,7 +258,7 @@ def _tiers(t):
 
 
 def _meta(t):
-    return t.v_player_season.filter("season_year = 1998").select("player", "team", "competition_name")
+    return t.v_player_season.select("player", "team", "competition_name")
 
 
 query("s10_club_and_age", lambda t: scoring.with_club_and_age(_meta(t), t.v_rosters.filter("age > 20"), _tiers(t)), """
@@ -267,7 +267,7 @@ WITH r AS (SELECT player, club, age, CASE RIGHT(club, 1) WHEN '1' THEN 1e0 WHEN
 SELECT player, COALESCE(club, team) AS team, competition_name, CASE WHEN club IS NOT NULL THEN m ELSE CASE competition_name WHEN 'La Liga' THEN 1e0
    WHEN 'Premier League' THEN 1e0 WHEN 'FIFA World Cup' THEN 0.75e0 ELSE 0.65e0 END END AS club_weight, COALESCE(age, 27) AS age,
   CASE WHEN COALESCE(age, 27) <= 29 THEN 1e0 WHEN age <= 31 THEN 0.97e0 WHEN age <= 33 THEN 0.93e0 WHEN age <= 35 THEN 0.88e0 ELSE 0.82e0 END AS age_multiplier
-FROM v_player_season LEFT JOIN r USING (player) WHERE season_year = 1998""")
+FROM v_player_season LEFT JOIN r USING (player)""")
 
 query("s11_coverage", lambda t: t.v_player_season.groupBy("player").agg(
     F.array_sort(F.collect_set("season_name")).alias("s"), F.mode("competition_name", True).alias("competition_name")).select(
@@ -314,15 +314,15 @@ SELECT player, rank, ROUND(comp, 4) AS composite_score, ROUND(pp, 4) AS "Progres
 
 
 def _list(t):
-    return t.customer.filter("c_custkey % 3 = 0 AND c_custkey <= 300").select(
+    return t.customer.filter("c_custkey % 3 = 0").select(
         F.concat(F.when(F.col("c_custkey") % 2 == 0, "C").otherwise("X"), F.col("c_custkey")).alias("player"),
-        F.lit("club").alias("team"), (F.col("c_custkey") / 3 + 1).cast("int").alias("rank"))
+        F.lit("club").alias("team"), (F.col("c_custkey") / 3 % 100 + 1).cast("int").alias("rank"))
 
 
 query("s13_blend_external_list", lambda t: rounded(scoring.blend_external_list(
     t.v_rosters.select("player", F.col("club").alias("team"), F.lit("A").alias("coverage_tier"), F.col("final_score").alias("composite_score")), _list(t))), """
-WITH g AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'C' ELSE 'X' END || c_custkey AS player, (c_custkey / 3)::INT + 1 AS r FROM customer
-   WHERE c_custkey % 3 = 0 AND c_custkey <= 300),
+WITH g AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'C' ELSE 'X' END || c_custkey AS player, (c_custkey // 3 % 100)::INT + 1 AS r FROM customer
+   WHERE c_custkey % 3 = 0),
  h AS (SELECT player, r, CASE WHEN r <= 10 THEN 90 - (r - 1) * (7 / 9e0) WHEN r <= 30 THEN 82 - (r - 11) * (10 / 19e0) ELSE 71 - (r - 31) * (16 / 69e0) END AS s,
    CASE WHEN r <= 10 THEN 0.4e0 WHEN r <= 30 THEN 0.25e0 ELSE 0.15e0 END AS w FROM g)
 SELECT v.player, club AS team, 'A' AS coverage_tier, ROUND(final_score, 4) AS composite_score,
@@ -339,7 +339,7 @@ FROM v_player_season""")
 
 
 def _roles(t):
-    return t.v_player_season.filter("season_year = 1999").select("player", F.when(F.col("player_id") % 4 == 0, "Right Wing Back").when(
+    return t.v_player_season.select("player", F.when(F.col("player_id") % 4 == 0, "Right Wing Back").when(
         F.col("player_id") % 4 == 1, "Left Wing").when(F.col("player_id") % 4 == 2, "Goalkeeper").alias("position"),
         F.col("m_defence").alias("Mobility_Intensity"), F.col("m_progression").alias("Progression"), F.col("m_control").alias("Control"), F.col("xg").alias("Final_Third_Output"))
 
@@ -347,7 +347,7 @@ def _roles(t):
 query("s15_position_weights", lambda t: rounded(scoring.overall_quality(scoring.position_weights(_roles(t)))), """
 WITH b AS (SELECT player, CASE player_id % 4 WHEN 0 THEN 'Right Wing Back' WHEN 1 THEN 'Left Wing' WHEN 2 THEN 'Goalkeeper' END AS position,
    m_defence AS m, m_progression AS p, m_control AS c, xg AS f, CASE player_id % 4 WHEN 0 THEN [0.85e0, 1, 0.65, 0.55] WHEN 1 THEN [1e0, 0.8, 0.75, 1]
-   WHEN 2 THEN [0.1e0, 0.3, 0.2, 0] ELSE [1e0, 1, 1, 1] END AS w FROM v_player_season WHERE season_year = 1999)
+   WHEN 2 THEN [0.1e0, 0.3, 0.2, 0] ELSE [1e0, 1, 1, 1] END AS w FROM v_player_season)
 SELECT player, position, ROUND(m * w[1], 4) AS "Mobility_Intensity", ROUND(p * w[2], 4) AS "Progression", ROUND(c * w[3], 4) AS "Control", ROUND(f * w[4], 4) AS "Final_Third_Output",
   ROUND((m * w[1] * w[1] + p * w[2] * w[2] + COALESCE(c * w[3] * w[3], 0) + f * w[4] * w[4]) / (w[1] + w[2] + w[3] + w[4]), 4) AS overall_quality FROM b""")
 
