@@ -49,14 +49,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 def fit_budget(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW) -> list[int]:
     """How many documents of each length to take, so that the words come as near ``budget`` as they can.
 
-    Every length first gives its whole share of the budget, then long documents fill it down to ``window`` words,
+    Every length first gives its share of the budget but for ``window`` words, then long documents fill it down to those,
     and a bounded knapsack over the rest fits what is left: bit i of a number says that i words can be reached.
     """
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if total <= 0 or budget <= 0:
         return [0] * len(lengths)
-    taken = [min(c, c * budget // total) for c in counts]
+    taken = [min(c, c * max(budget - window, 0) // total) for c in counts]
     rest = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     for i in order:
         if lengths[i] and rest > window:
