@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.catalog.registry import query
+from touchline.catalog.registry import f_tail_sql, query
 from touchline.functions.columns import rounded
 from touchline.operators import clustering, validation
 from touchline.plans import team_styles
@@ -92,12 +92,15 @@ query("c10_sensitivity", lambda t: clustering.sensitivity(_vectors(t), "vec_id",
 query("c11_bootstrap_stability", lambda t: clustering.bootstrap_stability(clustering.bootstrap_labels(_vectors(t), "vec_id", 3, 3, n_init=1), "vec_id"))
 query("c11_bootstrap_pairs", lambda t: rounded(clustering.bootstrap_pairs(
     clustering.bootstrap_labels(_vectors(t), "vec_id", 3, 3, n_init=1), "vec_id", t.v_features.filter("vec_id < 5"))))
-query("c12_anova", lambda t: validation.anova(t.v_features, "label", FEATURES).drop("p_value", "significant"), """
-WITH l AS (UNPIVOT (SELECT label, f1, f2, f3, f4 FROM v_features) ON f1, f2, f3, f4 INTO NAME metric VALUE v),
+ANOVA = """l AS (UNPIVOT (SELECT label, f1, f2, f3, f4 FROM v_features) ON f1, f2, f3, f4 INTO NAME metric VALUE v),
  c AS (SELECT metric, label, COUNT(*) AS n, AVG(v) AS m, VAR_POP(v) AS s FROM l GROUP BY metric, label HAVING COUNT(*) > 1),
- g AS (SELECT metric, COUNT(*) AS k, SUM(n) AS nn, SUM(n * s) AS w, SUM(n * m * m) - SUM(n * m) * SUM(n * m) / SUM(n) AS b FROM c GROUP BY metric)
-SELECT metric, ROUND((b / (k - 1)) / (w / (nn - k)), 3) AS "F_statistic" FROM g""")
-query("c12_anova_p_values", lambda t: validation.anova(t.v_features, "label", FEATURES))
+ g AS (SELECT metric, COUNT(*) AS k, SUM(n) AS nn, SUM(n * s) AS w, SUM(n * m * m) - SUM(n * m) * SUM(n * m) / SUM(n) AS b FROM c GROUP BY metric)"""
+query("c12_anova", lambda t: validation.anova(t.v_features, "label", FEATURES).drop("p_value", "significant"), f"""
+WITH {ANOVA} SELECT metric, ROUND((b / (k - 1)) / (w / (nn - k)), 3) AS "F_statistic" FROM g""")
+query("c12_anova_p_values", lambda t: validation.anova(t.v_features, "label", FEATURES), f"""
+WITH {ANOVA}, f AS (SELECT metric, (b / (k - 1)) / (w / (nn - k)) AS f, k - 1 AS d1, nn - k AS d2 FROM g),
+ p AS (SELECT *, {f_tail_sql("f", "d1", "d2")} AS p FROM f)
+SELECT metric, ROUND(f, 3) AS "F_statistic", ROUND(p, 4) AS p_value, p <= 0.05 AS significant FROM p""")
 query("c13_leave_one_out", lambda t: clustering.leave_one_out(_vectors(t), "vec_id", [1, 2], 3, n_init=1))
 
 PERIOD = "SELECT 'T' || (o_custkey % 400) AS team, EXTRACT(YEAR FROM o_orderdate)::INT % 3 AS period, o_orderkey % 4 AS cluster FROM orders"

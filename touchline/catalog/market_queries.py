@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.catalog.registry import query
+from touchline.catalog.registry import f_tail_sql, query
 from touchline.functions.columns import rounded
 from touchline.operators import markets, matching
 
@@ -210,7 +210,9 @@ query("q16_pearson", lambda t: rounded(markets.pearson(_priced(t), "xg_diff", "i
 query("q16_spearman", lambda t: rounded(markets.spearman(_priced(t), "match_id", "xg_diff", "implied_prob").drop("p_value")), f"""
 WITH {PRICED}, k AS (SELECT RANK() OVER (ORDER BY x) + (COUNT(*) OVER (PARTITION BY x) - 1) / 2e0 AS a, RANK() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1) / 2e0 AS b FROM pr)
 SELECT ROUND(CORR(a, b), 4) AS r, COUNT(*) AS n FROM k""")
-query("q16_pearson_p_value", lambda t: rounded(markets.pearson(_priced(t), "xg_diff", "implied_prob")))
+query("q16_pearson_p_value", lambda t: rounded(markets.pearson(_priced(t), "xg_diff", "implied_prob")), f"""
+WITH {PRICED}, c AS (SELECT CORR(x, p) AS r, COUNT(*) AS n FROM pr)
+SELECT ROUND(r, 4) AS r, n, ROUND({f_tail_sql("r * r * (n - 2) / (1 - r * r)", "1", "n - 2")}, 4) AS p_value FROM c""")
 query("q17_mispricing", lambda t: rounded(markets.mispricing(_priced(t), "xg_diff", "implied_prob").select("match_id", "expected_prob", "residual", "mispricing"), 6), f"""
 WITH {LINE} SELECT match_id, ROUND(e, 6) AS expected_prob, ROUND(-m, 6) AS residual, ROUND(m, 6) AS mispricing FROM mp""")
 query("q17_mispricing_summary", lambda t: rounded(markets.mispricing_summary(_priced(t), "xg_diff", "implied_prob").drop("p_value"), 5), f"""

@@ -47,9 +47,10 @@ def anova(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
         F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).filter(F.col("n") > 1)
     n, m, v = F.col("n"), F.col("m"), F.col("v")
     sums = cells.groupBy("metric").agg(
-        F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(n * v).alias("within"),
-        F.sum(n * m).alias("s"), F.sum(n * m * m).alias("s2")).filter(F.col("k") > 1)
-    between = F.col("s2") - F.col("s") * F.col("s") / F.col("total")
+        F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(n * v).alias("within"), F.sum(n * m).alias("s"),
+        F.collect_list(F.struct("n", "m")).alias("groups")).filter(F.col("k") > 1)  # one entry per group
+    grand = F.col("s") / F.col("total")  # squares about the grand mean: no difference of large sums
+    between = F.aggregate("groups", F.lit(0.0), lambda t, g: t + g["n"] * (g["m"] - grand) * (g["m"] - grand))
     d1, d2 = F.col("k") - 1, F.col("total") - F.col("k")
     stat = (between / d1) / F.nullif(F.col("within") / F.nullif(d2.cast("double"), F.lit(0.0)), F.lit(0.0))
     out = sums.select("metric", stat.alias("f"), d1.alias("d1"), d2.alias("d2")).withColumn("p", f_tail(F.col("f"), F.col("d1"), F.col("d2")))
