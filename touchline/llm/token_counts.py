@@ -25,6 +25,7 @@ WIDTH = 2  # bytes of an id, high byte first
 END = 0xC480  # id of the end of a document; its two bytes are one character in UTF-8, which the text writer takes as separator
 KEY, KEY_IDS, KEY_BITS, NO_KEY = 51_200, 5, 13, 59_392  # ids that carry the key of a document before its tokens
 BLOCK = 1 << 19  # ids that are searched at once
+ROWS = 256  # documents that are encoded at once
 _ENCODINGS: dict[int, tiktoken.Encoding] = {}
 
 
@@ -58,8 +59,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(shipped.value).encode_ordinary
         for batch in batches:
-            out = [np.array(key_ids(i) + encode(t), ">u2").tobytes() for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                out = [np.array(key_ids(i) + encode(t), ">u2").tobytes() for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     separator = END.to_bytes(WIDTH, "big").decode()
@@ -85,8 +88,8 @@ def scan_block(ids: np.ndarray, before: bool, own: int) -> list[tuple[int, int,
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for path, block, data in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "data")), strict=True):
-            ids = np.frombuffer(data, ">u2")
+        for path, block, data in zip(*(batch.column(c) for c in ("path", "block", "data")), strict=True):
+            path, block, ids = path.as_py(), block.as_py(), np.frombuffer(data.as_buffer(), ">u2")
             before = block == 0 or ids[0] == END
             ids = ids[block > 0 :]
             own = min(BLOCK, len(ids))
