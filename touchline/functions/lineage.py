@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_GROUPS = 100_000  # rows of group statistics up to which they are broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +24,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are computed once and read back from the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def join_statistics(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join one row per group to its rows without dealing the rows out by a handful of keys.
+
+    The statistics are stored and counted first; up to :data:`BROADCAST_GROUPS` groups are broadcast, more are joined by key.
+    """
+    stats = cut_lineage(stats)
+    if stats.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        stats = F.broadcast(stats)
+    return df.join(stats, keys, how)

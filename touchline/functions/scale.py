@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import clip, scalar_stats
-from touchline.functions.lineage import cut_lineage
+from touchline.functions.lineage import cut_lineage, join_statistics
 from touchline.functions.ranks import (
     average_rank, quantile_scalars, rank_columns, repivot, scaled_rank, unpivot, value_positions,
 )
@@ -33,7 +33,7 @@ def zscore(df: DataFrame, groups: list[str], columns: dict[str, str]) -> DataFra
     per group, so a large group is never gathered.
     """
     aggs = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]
-    df = df.join(df.groupBy(*groups).agg(*aggs), groups, "left") if groups else _attach(df, aggs)
+    df = join_statistics(df, df.groupBy(*groups).agg(*aggs), groups) if groups else _attach(df, aggs)
     for c, out in columns.items():
         s = F.col(f"_s_{c}")
         df = df.withColumn(out, F.when(F.col(c).isNull(), F.lit(None)).when(
@@ -54,7 +54,7 @@ def min_max(
     """Min-max scaling to 0..high; a constant column becomes ``constant``."""
     groups = list(groups)
     aggs = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
-    df = df.join(df.groupBy(*groups).agg(*aggs), groups, "left") if groups else _attach(df, aggs)
+    df = join_statistics(df, df.groupBy(*groups).agg(*aggs), groups) if groups else _attach(df, aggs)
     for c, out in columns.items():
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         num = (hi - F.col(c)) if c in lower_is_better else (F.col(c) - lo)
@@ -101,7 +101,7 @@ def normalise_columns(
         long = unpivot(wide, list(dict.fromkeys(keys + groups)), list(ranked))
         by = groups + ["metric"]
         means = long.groupBy(*by).agg(F.avg("value").alias("mean"))
-        filled = long.join(means, by, "left").withColumn("filled", F.coalesce("value", "mean"))
+        filled = join_statistics(long, means, by).withColumn("filled", F.coalesce("value", "mean"))
         # log and log1p keep the order, so only values under the log floor change: they tie
         logged = [o for o, (_, m) in ranked.items() if m == "log"]
         filled = filled.withColumn("filled", F.when(
@@ -118,7 +118,7 @@ def normalise_columns(
         stats = df.groupBy(*groups).agg(
             F.avg(c).alias("_m"), F.var_pop(c).alias("_v"), F.count(c).alias("_k"), F.count("*").alias("_n"))
         sd = F.sqrt(F.col("_v") * F.col("_k") / F.nullif((F.col("_n") - 1).cast("double"), F.lit(0.0)))
-        out = out.join(stats, groups, "left").withColumn(o, F.when(F.col(c).isNotNull(), F.when(
+        out = join_statistics(out, stats, groups).withColumn(o, F.when(F.col(c).isNotNull(), F.when(
             sd.isNull() | (sd == 0), F.lit(0.0)).otherwise((F.col(c) - F.col("_m")) / F.nullif(sd, F.lit(0.0)))
         )).drop("_m", "_v", "_k", "_n")
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import ladder, pct, ratio, row_mean, sum_flag
+from touchline.functions.lineage import join_statistics
 from touchline.functions.ranks import average_rank, quantile_scalars, rank_columns
 from touchline.functions.scale import min_max
 from touchline.operators.scoring import lookup
@@ -317,7 +318,7 @@ def peers(df: DataFrame, key: str = "team", group: str = "archetype", score: str
     """
     order = W.partitionBy(group).orderBy(F.desc_nulls_last(score), key)
     best = df.select(group, F.col(key).alias("peer"), F.col(score).alias("peer_score"), F.row_number().over(order).alias("r")).filter(F.col("r") <= k + 1)
-    pairs = df.select(key, group).join(best, group).filter(F.col(key) != F.col("peer"))
+    pairs = join_statistics(df.select(key, group), best, [group], "inner").filter(F.col(key) != F.col("peer"))
     return pairs.withColumn("peer_rank", F.row_number().over(W.partitionBy(key).orderBy("r"))).filter(F.col("peer_rank") <= k).select(
         key, group, "peer", "peer_score", "peer_rank")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import ladder, row_mean, weighted_mean_present
-from touchline.functions.lineage import cut_lineage
+from touchline.functions.lineage import cut_lineage, join_statistics
 from touchline.functions.ranks import rank_columns, value_positions
 from touchline.operators.season import METRICS, Metric
 
@@ -106,7 +106,7 @@ def apply_shrinkage(
     group = [k for k in ("season_name", "position_archetype") if k in df.columns]
     # One row per (season, group): aggregated, then joined back.
     means = df.filter(~F.col("shrinkage_flag")).groupBy(*group).agg(*[F.avg(c).alias(f"_mu_{c}") for c in columns])
-    df = df.join(means, group, "left")
+    df = join_statistics(df, means, group)
     if sample and sample in df.columns:
         m = F.col(sample)
         lam = F.when(m >= threshold, 0.0).when(m <= floor, 1.0).otherwise(1.0 - (m - floor) / float(threshold - floor))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import ladder, pct, ratio, row_mean, scalar_stats, sum_flag
-from touchline.functions.lineage import cut_lineage
+from touchline.functions.lineage import cut_lineage, join_statistics
 from touchline.functions.ranks import average_rank, exact_quantiles, rank_columns, unpivot, value_positions
 from touchline.functions.scale import min_max
 from touchline.functions.tests_of_difference import f_tail
@@ -92,7 +92,7 @@ def baseline_comparison(rows: DataFrame, score: str, truth: str, cutoff: float,
 def expected_vs_actual(rows: DataFrame, group: str, actual: str) -> DataFrame:
     """Group mean as expectation; error and its size per row."""
     means = rows.groupBy(group).agg(F.round(F.avg(actual), 2).alias("expected_rank"))
-    out = rows.join(means, group).withColumn("error", F.round(F.col(actual) - F.col("expected_rank"), 2))
+    out = join_statistics(rows, means, [group], "inner").withColumn("error", F.round(F.col(actual) - F.col("expected_rank"), 2))
     return out.withColumn("abs_error", F.abs("error"))
 
 
