@@ -139,6 +139,18 @@ query("c16_expected_vs_actual", lambda t: validation.expected_vs_actual(_outcome
 WITH {OUT}, e AS (SELECT archetype, ROUND(AVG(outcome_rank), 2) AS expected_rank FROM ot WHERE outcome IS NOT NULL GROUP BY archetype)
 SELECT team, archetype, outcome, outcome_rank, expected_rank, ROUND(outcome_rank - expected_rank, 2) AS error, ABS(ROUND(outcome_rank - expected_rank, 2)) AS abs_error
 FROM ot JOIN e USING (archetype) WHERE outcome IS NOT NULL""")
+EXPECTED = """e AS (SELECT archetype, ROUND(AVG(outcome_rank), 2) AS x FROM ot WHERE outcome IS NOT NULL GROUP BY archetype),
+ er AS (SELECT team, ABS(ROUND(outcome_rank - x, 2)) AS d FROM ot JOIN e USING (archetype) WHERE outcome IS NOT NULL)"""
+_errors = lambda t: validation.expected_vs_actual(_outcomes(t).filter("outcome IS NOT NULL"), "archetype", "outcome_rank")
+query("c16_mean_absolute_error", lambda t: validation.mean_absolute_error(_errors(t)), f"WITH {OUT}, {EXPECTED} SELECT ROUND(AVG(d), 3) AS mae, COUNT(*) AS teams FROM er")
+query("c16_biggest_surprises", lambda t: validation.biggest_surprises(_errors(t), "team").select("team", "abs_error"), f"""
+WITH {OUT}, {EXPECTED} SELECT team, d AS abs_error FROM er ORDER BY d DESC, team LIMIT 5""")
+query("c15_archetype_predictor", lambda t: validation.archetype_predictor(_outcomes(t)), f"""
+WITH {OUT}, b AS (SELECT (outcome_rank >= 3)::INT AS y, CASE archetype WHEN 'High Press / High Output' THEN 85 WHEN 'Possession Dominant' THEN 75 WHEN 'Compact Transition' THEN 65
+   WHEN 'Mid-Block Reactive' THEN 60 WHEN 'Moderate Possession' THEN 50 WHEN 'Low Intensity' THEN 40 ELSE 50 END AS s FROM ot WHERE outcome_rank IS NOT NULL),
+ w AS (SELECT COALESCE(AVG(CASE WHEN p.s > q.s THEN 1 WHEN p.s = q.s THEN 0.5 ELSE 0 END), 0.5) AS auc FROM b p JOIN b q ON p.y = 1 AND q.y = 0),
+ a AS (SELECT AVG(y) AS base, AVG(((s >= 65)::INT = y)::INT) AS acc FROM b)
+SELECT 'Majority class baseline' AS model, ROUND(GREATEST(base, 1 - base), 3) AS accuracy, 0.5e0 AS auc FROM a UNION ALL SELECT 'Score', ROUND(acc, 3), ROUND(auc, 3)::DOUBLE FROM a, w""")
 query("c17_cohen_kappa", lambda t: validation.cohen_kappa(t.embeddings.select("label", F.when(F.col("vec_id") % 3 == 0, F.col("label") + 1).otherwise(F.col("label")).alias("b")), "label", "b"), """
 WITH p AS (SELECT label AS a, CASE WHEN vec_id % 3 = 0 THEN label + 1 ELSE label END AS b FROM embeddings), n AS (SELECT COUNT(*) AS n, AVG((a = b)::INT) AS po FROM p),
  e AS (SELECT SUM(x.c * y.c) / (SELECT n * n FROM n)::DOUBLE AS pe FROM (SELECT a, COUNT(*) AS c FROM p GROUP BY a) x JOIN (SELECT b, COUNT(*) AS c FROM p GROUP BY b) y ON a = b),

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 # Pitch marks on the 120 x 80 grid.
 DEFENSIVE_EDGE = 40.0
 MIDDLE_EDGE = 80.0
-PRESS_LINE = 48.0
-HIGH_LINE = 72.0
 BOX_X = 102.0
 BOX_Y = (18.0, 62.0)
 OPEN_PLAY = ("Regular Play", "From Counter")

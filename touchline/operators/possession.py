@@ -15,6 +15,7 @@ from touchline.functions.columns import (
 )
 
 SIDE = ["match_id", "team"]
+# Which event types count for a metric.
 PRESS_ACTIONS = ["Interception", "Tackle", "Foul Committed", "Duel"]
 ON_BALL = ["Pass", "Carry", "Shot", "Dribble"]
 RECOVERIES = ["Interception", "Tackle", "Ball Recovery"]

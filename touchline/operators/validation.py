@@ -14,6 +14,7 @@ from touchline.functions.ranks import average_rank, exact_quantiles, rank_column
 from touchline.functions.scale import min_max
 from touchline.functions.tests_of_difference import f_tail
 from touchline.operators.season import player_means
+from touchline.operators.rollup import ARCHETYPE_SCORES
 
 # Outcome scales, archetype scores and evidence weights.
 OUTCOME_RANK = {"Winner": 7, "Runner-up": 6, "Third": 5, "Fourth": 4, "Quarter-final": 3, "Round of 16": 2, "Group Stage": 1}
@@ -22,10 +23,7 @@ STYLE_SCORE = {
     "High Press / High Output": 95, "Possession Dominant": 82, "Compact Transition": 70, "Mid-Block Reactive": 63,
     "Moderate Possession": 48, "Low Intensity": 35,
 }
-PREDICTOR_SCORE = {
-    "High Press / High Output": 85, "Possession Dominant": 75, "Compact Transition": 65, "Mid-Block Reactive": 60,
-    "Moderate Possession": 50, "Low Intensity": 40,
-}
+UNKNOWN_STYLE, PREDICTED_FROM, QUARTER_FINAL = 50, 65, 3
 CAPPED_STYLE, STYLE_CAP = "High Press / High Output", 80
 ABSENT_WEIGHT = 0.75
 
@@ -96,7 +94,20 @@ def expected_vs_actual(rows: DataFrame, group: str, actual: str) -> DataFrame:
     return out.withColumn("abs_error", F.abs("error"))
 
 
+def mean_absolute_error(rows: DataFrame) -> DataFrame:
+    """Of :func:`expected_vs_actual` rows, as one row."""
+    return rows.agg(F.round(F.avg("abs_error"), 3).alias("mae"), F.count("abs_error").alias("teams"))
+
+
+def archetype_predictor(rows: DataFrame, cutoff: float = PREDICTED_FROM, **options) -> DataFrame:
+    """How well the score of a style alone tells who reaches the quarter-final, beside the majority class."""
+    score = F.coalesce(_map(F.col("archetype"), ARCHETYPE_SCORES).cast("double"), F.lit(float(UNKNOWN_STYLE)))
+    scored = rows.filter(F.col("outcome_rank").isNotNull()).select(score.alias("score"), (F.col("outcome_rank") >= QUARTER_FINAL).cast("int").alias("reached"))
+    return baseline_comparison(scored, "score", "reached", cutoff, **options)
+
+
 def biggest_surprises(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The ``n`` rows furthest from what their group does; equal ones go by key."""
     return rows.orderBy(F.desc("abs_error"), key).limit(n)
 
 
