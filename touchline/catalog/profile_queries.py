@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from touchline.catalog.registry import query
 from touchline.functions.columns import rounded
+from touchline.functions.lineage import shared_folder
 from touchline.operators import profiling, season, validation
 from touchline.sources import loading
 
@@ -24,6 +27,31 @@ query("l3_stack_tables", lambda t: loading.stack_tables([
     {"m": t.v_player_season.filter("season_year < 1998").select("player", "season_name", "m_control")},
     {"m": t.v_player_season.filter("season_year >= 1998").select("player", "season_name", "m_defence")}])["m"].transform(season.with_season_year), """
 SELECT player, season_name, season_year, CASE WHEN season_year < 1998 THEN m_control END AS m_control, CASE WHEN season_year >= 1998 THEN m_defence END AS m_defence FROM v_player_season""")
+
+
+def _season_folders(t, columns):
+    """The seasons written out as CSV folders, to be loaded as a scope."""
+    base = f"{shared_folder(t.spark)}/scope-{uuid4().hex}"
+    years = sorted(r["season_year"] for r in t.v_player_season.select("season_year").distinct().collect())  # a handful of seasons
+    for y in years:
+        t.v_player_season.filter(F.col("season_year") == y).select(*columns).write.option("header", True).csv(f"{base}/{y}/metrics.csv")
+    return base, [str(y) for y in years]
+
+
+def _scope(t):
+    base, folders = _season_folders(t, ["player", "team", "minutes_played", "m_defence"])
+    return loading.load_scope(t.spark, base, folders, ["metrics.csv", "missing.csv"])["metrics.csv"]
+
+
+def _team_metrics(t):
+    folder = f"{shared_folder(t.spark)}/teams-{uuid4().hex}"
+    t.v_team_match.select("match_id", "team", "ppda", F.lit(1).alias("other")).write.option("header", True).csv(f"{folder}/possession__team__ppda.csv")
+    return loading.load_team_metrics(t.spark, folder)["ppda"]
+
+
+query("l3_load_scope", _scope, """
+SELECT player, team, minutes_played::DOUBLE AS minutes_played, m_defence::DOUBLE AS m_defence, season_year::VARCHAR AS season_name, season_year FROM v_player_season""")
+query("l5_team_metrics", _team_metrics, "SELECT match_id::INT AS match_id, team, ppda FROM v_team_match")
 query("l4_season_year", lambda t: season.with_season_year(t.v_player_season.select("player", "season_name")), "SELECT player, season_name, season_year FROM v_player_season")
 query("l6_match_events", lambda t: _ids(loading.match_events(t.v_events, 3)), f"SELECT {EV} FROM v_events WHERE match_id = 3")
 query("l6_player_events", lambda t: _ids(loading.player_events(t.v_events, "T3_P7")), f"SELECT {EV} FROM v_events WHERE player = 'T3_P7'")

@@ -95,11 +95,25 @@ def read_metric(spark: SparkSession, base: str, metric: str, scopes: list[str] |
     return df.filter(F.col("season_name").isin(list(seasons))) if seasons else df
 
 
+TEXT_COLUMNS = {
+    "player", "player_name", "team", "team_name", "season_name", "competition", "competition_name", "position", "position_name", "archetype", "country",
+    "club", "zone", "scope", "name", "defensive_profile", "network_role", "passer_type", "progressive_profile"}
+ID_COLUMNS = {"match_id", "season_year"}
+
+
 def season_of_folder(folder: str) -> str:
     """'2021_2022' names the season '2021/2022'."""
     return folder.replace("_", "/", 1)
 
 
+def read_metric_file(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV metric file with declared types, the same in every season: :data:`TEXT_COLUMNS`, whole-number
+    :data:`ID_COLUMNS`, and doubles. The rows are read once; text where a number belongs is an error, not a NULL."""
+    df = spark.read.csv(path, header=True)
+    kind = lambda c: "string" if c in TEXT_COLUMNS else "int" if c in ID_COLUMNS else "double"
+    return df.select(*[F.col(f"`{c}`").cast(kind(c)).alias(c) for c in df.columns])
+
+
 def load_season(spark: SparkSession, folder: str, files: list[str], season: str) -> dict[str, DataFrame]:
     """CSV metric files of one season folder; files that are not there are left out."""
     out = {}
@@ -107,7 +121,7 @@ def load_season(spark: SparkSession, folder: str, files: list[str], season: str)
         path = f"{folder}/{name}"
         if not _exists(spark, path):
             continue
-        df = spark.read.csv(path, header=True, inferSchema=True)
+        df = read_metric_file(spark, path)
         df = df if "season_name" in df.columns else df.withColumn("season_name", F.lit(season))
         out[name] = df.withColumn("season_name", F.col("season_name").cast("string")).withColumn("season_year", season_year(F.col("season_name")))
     return out
@@ -135,7 +149,7 @@ def load_team_metrics(spark: SparkSession, folder: str, files: dict[str, tuple[s
         path = f"{folder}/{name}"
         if not _exists(spark, path):
             continue
-        df = spark.read.csv(path, header=True, inferSchema=True)
+        df = read_metric_file(spark, path)
         if set(columns) <= set(df.columns):
             out[key] = df.select("match_id", "team", *columns)
     return out
