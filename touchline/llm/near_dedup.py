@@ -39,6 +39,7 @@ LOST = 1e-9  # share of linked pairs that may share fewer values than assumed
 SURE_UPTO = 4 * K  # set sizes whose bounds are listed; larger sets take that of an endless one
 BITS = 1024
 SHORT_LIST = 16
+ROWS = 1024  # documents whose sets a task holds at once
 BLOCK = 2048
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes, up to which they are broadcast
 
@@ -91,8 +92,14 @@ def _hashed(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(s >> np.uint64(1)).astype(np.int64) for s in shingle_sets(texts, WORDS)]
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         sets = _hashed(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), _lists([s[:K] for s in sets])],
@@ -100,7 +107,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         sets = _hashed(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_bitmap(s) for s in sets], pa.binary()), _lists(sets)],

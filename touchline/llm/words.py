@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType
 # Executors need not have the package installed: the small functions below travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE_BYTES = 1 << 21  # numpy temporaries of a slice take up to 60 times this
+SLICE_BYTES = 1 << 20  # numpy temporaries of a slice take up to 60 times this
 PRIME, GOLDEN = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _POWERS: dict[str, np.ndarray] = {}
 
