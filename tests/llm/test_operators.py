@@ -270,6 +270,26 @@ def test_licenses_against_containment(spark):
     assert found[9001] == "Apache-2.0" and "GPL-2.0-or-later" in found[9002] and not found[9003]
 
 
+def test_licenses_with_one_word_inserted_or_changed(spark):
+    threes = lambda t: {tuple(w[i : i + 3]) for w in [licenses.words_of(t)] for i in range(max(len(w) - 2, 1) if w else 0)}
+    texts = ["This work is hereby licensed under the GNU General Public License, version 3."]
+    for _, notice in licenses.NOTICES:
+        w = licenses.words_of(notice)
+        texts += [" ".join(["see", *w[:i], "hereby", *w[i + cut :], "end"]) for cut in (0, 1) for i in range(len(w) + 1 - cut)]
+        # its halves far apart and in the other order
+        texts.append(" ".join([*w[len(w) // 2 :], *["filler"] * 60, *w[: len(w) // 2 + 2]]))
+    found = {r["doc_id"]: r for r in rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for i, text in enumerate(texts):
+        own = threes(text)
+        shares = {}
+        for name, notice in licenses.NOTICES:
+            t = threes(notice)
+            if len(own & t) >= licenses.CONTAINED * len(t):
+                shares[name] = max(shares.get(name, 0), len(own & t) / len(t))
+        assert (found[i]["licenses"], found[i]["best"]) == (",".join(sorted(shares)), pytest.approx(max(shares.values(), default=0))), text
+    assert found[0]["licenses"] == "GPL-3.0"
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     y = spark.read.parquet(f"{sf}/labels.parquet")

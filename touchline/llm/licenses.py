@@ -1,9 +1,10 @@
-"""License notices in documents: MinHash bands over overlapping windows find templates, exact containment verifies them.
+"""License notices in documents: a MinHash sketch of every template nominates it, exact containment in the whole text verifies it.
 
 All of it is DataFrame expressions. Texts and templates are words ``[a-z0-9]+`` in lower case, and shingles of three.
-A window meets a template only over a shingle that both hold. So only texts with an anchor, a word that is chosen from
-every template shingle, are split into words, and only windows that hold a template shingle are hashed; nothing else
-could collide.
+The sketch of a template is its smallest shingles in a seeded order, one more than a document may lack. A document that
+holds enough of the template therefore holds one of the sketch, wherever in the text and in whatever order its shingles
+are, so no match is lost. Only texts with an anchor, a word that is chosen from every template shingle, are split into
+words; no other text holds a template shingle.
 """
 
 from __future__ import annotations
@@ -17,10 +18,9 @@ from pyspark.sql import functions as F
 from touchline.functions.lineage import cut_lineage
 
 SHINGLE = 3  # words
-WINDOW, STEP = 16, 4  # words of a template window, and how far on the next one begins; a shorter template is one window
-BANDS, ROWS = 16, 2  # windows of similarity s meet with 1 - (1 - s**2)**16: over 0.99 from s = 0.5
+SEED = 9  # of the order of a template's shingles
 CONTAINED = 0.8  # share of a template's shingles that a document must hold
-BROADCAST_BANDS = 200_000
+BROADCAST_ROWS = 200_000
 # Public license notices as projects print them.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -63,40 +63,18 @@ def _shingles(words: Column) -> Column:
         F.lit([]).cast("array<bigint>"))
 
 
-def _bands(shingles: Column) -> Column:
-    """A hash for each band of the smallest of ``ROWS`` seeded orders of the shingles."""
-    least = lambda seed: F.array_min(F.transform(shingles, lambda s: F.xxhash64(F.lit(seed), s)))
-    return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a name for ``value``, so that lambdas in it do not work ``value`` out again for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _marked(shingles: Column, known: list[int]) -> Column:
-    """Places (from 1) of the shingles that a template holds."""
-    return F.filter(F.transform(shingles, lambda s, i: F.when(s.isin(known), i + 1)), lambda i: i.isNotNull())
-
-
-def _spans(shingles: Column, at: Column, width: int) -> Column:
-    """Windows of ``width`` shingles over a marked place: where each begins, and its shingles. A shorter text has one window."""
-    last = F.greatest(F.size(shingles) - (width - 1), F.lit(1))
-    begins = F.transform(at, lambda i: F.sequence(F.least(F.greatest(i - (width - 1), F.lit(1)), last), F.least(i, last)))
-    return F.transform(F.array_distinct(F.flatten(begins)), lambda i: F.struct(
-        i.alias("from"), F.lit(width).alias("width"), F.slice(shingles, i, F.lit(width)).alias("theirs")))
-
-
-def template_windows(templates: DataFrame) -> DataFrame:
-    """``template_id``, ``license``, ``total`` shingles, and for each window its ``width`` in shingles, ``mine`` and ``bands``."""
+def template_sketches(templates: DataFrame) -> DataFrame:
+    """``template_id``, ``license``, ``mine`` (its distinct shingles in the seeded order) and ``sketch`` (the first of them)."""
     split = templates.select("template_id", "license", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    split = split.select("template_id", "license", _shingles(F.col("w")).alias("s"))
-    full = WINDOW - SHINGLE + 1
-    starts = F.array_distinct(F.concat(
-        F.filter(F.sequence(F.lit(1), F.size("s"), F.lit(STEP)), lambda i: i + full - 1 <= F.size("s")), F.array(F.greatest(F.size("s") - full + 1, F.lit(1)))))
-    cut = split.select("template_id", "license", F.size(F.array_distinct("s")).alias("total"), "s", F.explode(starts).alias("from"))
-    cut = cut.select("template_id", "license", "total", F.slice("s", F.col("from"), F.lit(full)).alias("mine"))
-    return cut.select("template_id", "license", "total", F.size("mine").alias("width"), F.array_distinct("mine").alias("mine"), _bands(F.col("mine")).alias("bands"))
+    ordered = F.array_sort(F.transform(F.array_distinct(_shingles(F.col("w"))), lambda s: F.struct(F.xxhash64(F.lit(SEED), s).alias("order"), s.alias("s"))))
+    mine = split.select("template_id", "license", F.transform(ordered, lambda o: o["s"]).alias("mine"))
+    may_lack = F.size("mine") - F.ceil(F.lit(CONTAINED) * F.size("mine")).cast("int")
+    return mine.withColumn("sketch", F.slice("mine", F.lit(1), may_lack + 1))
 
 
 def anchors(texts: list[str]) -> list[str]:
@@ -113,15 +91,15 @@ def anchors(texts: list[str]) -> list[str]:
 
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """For every row of ``docs``: ``doc_id``, ``licenses`` (names found, sorted, comma-separated; empty for none), ``n_licenses``,
-    ``best`` (largest share of a template's shingles that the whole text holds in matching windows, 0 for none).
+    ``best`` (largest share of a found template's distinct shingles that the whole text holds, 0 for none).
 
     ``templates`` (``template_id``, ``license``, ``text``; default :data:`NOTICES`) are a table of reference texts, read
-    by the driver for the anchors; texts may hold their windows anywhere. NULL and empty texts have no license, a NULL
+    by the driver for the anchors; texts may hold their shingles anywhere. NULL and empty texts have no license, a NULL
     doc_id stays NULL, rows that repeat are reported alike, other columns are left aside, an empty table (of either
     kind) gives no finding.
     """
     templates = default_templates(docs.sparkSession) if templates is None else templates
-    windows = cut_lineage(template_windows(templates))
+    sketches = cut_lineage(template_sketches(templates))
     known = [r["text"] or "" for r in templates.select("text").collect()]
     words = anchors(known)
     own = docs.select("doc_id", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
@@ -129,21 +107,17 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     if not words:
         found = None
     else:
-        every = sorted({s for r in windows.select(F.explode("mine").alias("s")).distinct().collect() for s in r})
-        widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
+        every, nominating = (sorted(r["s"] for r in sketches.select(F.explode(c).alias("s")).distinct().collect()) for c in ("mine", "sketch"))
         anchored = rows.filter(F.col("text").rlike("(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])"))
-        windowed = _let(_words(F.col("text")), lambda w: _let(_shingles(w), lambda s: _let(_marked(s, every), lambda at: F.flatten(
-            F.array(*[_spans(s, at, width) for width in widths])))))
-        opened = anchored.select("doc_id", "same", F.explode(windowed).alias("span")).select("doc_id", "same", "span.*")
-        hashed = opened.select("doc_id", "same", "from", "width", "theirs", F.posexplode(_bands(F.col("theirs"))).alias("band", "hash"))
-        lookup = windows.select("template_id", "license", "total", F.col("width").alias("_width"), "mine", F.posexplode("bands").alias("_band", "_hash"))
-        if lookup.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
+        theirs = _let(_words(F.col("text")), lambda w: F.array_distinct(F.filter(_shingles(w), lambda s: s.isin(every))))
+        marked = anchored.select("doc_id", "same", theirs.alias("theirs"))
+        opened = marked.select("doc_id", "same", "theirs", F.explode(F.filter("theirs", lambda s: s.isin(nominating))).alias("s"))
+        lookup = sketches.select("license", "mine", F.explode("sketch").alias("_s"))
+        if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
             lookup = F.broadcast(lookup)
-        met = hashed.join(lookup, (F.col("band") == F.col("_band")) & (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")))
-        shared = met.withColumn("shared", F.array_intersect("mine", "theirs")).filter(F.size("shared") >= CONTAINED * F.size("mine"))
-        covered = shared.select("doc_id", "same", "template_id", "license", "total", F.explode("shared").alias("s")).distinct()
-        held = covered.groupBy("doc_id", "same", "template_id", "license", "total").agg(F.count("*").alias("n"))
-        held = held.withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= CONTAINED)
+        met = opened.join(lookup, F.col("s") == F.col("_s"))
+        held = met.select("doc_id", "same", "license", F.size("mine").alias("total"), F.size(F.array_intersect("mine", "theirs")).alias("n"))
+        held = held.filter(F.col("n") >= CONTAINED * F.col("total")).withColumn("share", F.col("n") / F.col("total"))
         found = held.groupBy("doc_id", "same").agg(F.sort_array(F.collect_set("license")).alias("names"), F.max("share").alias("best"))
     slim = rows.select("doc_id", "same")
     if found is None:
