@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,20 @@ def test_packing_holds_room_and_conflicts(spark, odd):
             assert max(sum(r["source"] == s for r in held) for s in {r["source"] for r in held}) <= 4
 
 
+def test_many_copies_of_a_row_keep_to_their_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 4)
+    docs = spark.range(1300).select(F.expr("if(id < 1290, NULL, id)").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    found = rows(packing.pack(docs, capacity=8))
+    assert len(found) == 1300 and len({r["bin"] for r in found}) == 1300  # all are of one cluster
+    groups = {}
+    for r in found:
+        groups[(r["bin"] >> packing.BIN_BITS) % 325] = groups.get((r["bin"] >> packing.BIN_BITS) % 325, 0) + 1
+    assert max(groups.values()) < 40  # and not dealt to one task
+    row = {"doc_id": [None], "words": [3], "source": ["a"], "cluster": [1], "pack": [5], "copies": [1300]}
+    found = pd.concat(packing._pack(8, 4, 325)(iter([pd.DataFrame(row)])))
+    assert len(found) == found["bin"].nunique() == 1300
+
+
 def test_the_tightest_compatible_bin_is_found():
     # the bins left open by 6 and 7 have 4 and 3 of room; 3 of cluster 1 cannot join the tightest
     assert packing.pack_group([7, 6, 3, 3], ["a"] * 4, [1, 2, 1, 3], 10, 4) == [(0, 0), (1, 0), (1, 1), (0, 1)]

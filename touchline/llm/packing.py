@@ -17,7 +17,7 @@ from touchline.llm.words import count_words
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GROUP = 4096  # documents that are packed together
-BIN_BITS = 24  # a bin's number is its group's, shifted by so many bits, plus its number there
+BIN_BITS = 24  # a bin's number is that of its run of rows, shifted by so many bits, plus its number there
 SCHEMA = "doc_id long, piece int, words long, source string, cluster long, bin long, place int"
 
 
@@ -62,10 +62,11 @@ def pack_group(sizes: list[int], sources: list, clusters: list[int], capacity: i
 
 
 def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one group, at most GROUP at a time: more of them (rows that repeat) are packed as further groups."""
+    """Rows of one group, copies written out, at most GROUP at a time: more of them are packed as further runs."""
     kept: list[pd.DataFrame] = []
     for frame in frames:
         for _, rows in frame.groupby("pack", sort=False):
+            rows = rows.loc[rows.index.repeat(rows["copies"])]
             while len(rows):
                 if kept and kept[0]["pack"].iloc[0] != rows["pack"].iloc[0]:
                     yield pd.concat(kept)
@@ -80,7 +81,7 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(kept)
 
 
-def _pack(capacity: int, slots: int):
+def _pack(capacity: int, slots: int, groups: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, group = 0, None
         for rows in _runs(frames):
@@ -93,7 +94,7 @@ def _pack(capacity: int, slots: int):
             pieces.sort(key=lambda p: -p[2])  # stable: the rows come in a settled order
             filled = [p for p in pieces if p[2]]
             bins = pack_group([p[2] for p in filled], [p[3] for p in filled], [p[4] for p in filled], capacity, slots)
-            number = (int(group) << 8 | part & 255) << BIN_BITS
+            number = part * groups + int(group) << BIN_BITS
             frame = pd.DataFrame(pieces, columns=["doc_id", "piece", "words", "source", "cluster"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             frame["bin"] = pd.array([number + b for b, _ in bins] + [None] * (len(pieces) - len(bins)), dtype="Int64")
@@ -112,8 +113,8 @@ def same_text(text: Column) -> Column:
 def pack(docs: DataFrame, capacity: int = 2048, slots: int = 4, cluster: Column | None = None) -> DataFrame:
     """Sequences of up to ``capacity`` words: one row per piece of a document, with its bin and place there.
 
-    A document longer than ``capacity`` is cut into pieces. Documents are dealt by a hash into groups of about
-    :data:`GROUP`, longest first within a group, and every group is packed by :func:`pack_group`; no bin spans two
+    A document longer than ``capacity`` is cut into pieces. Documents are dealt by a hash (copies of one row by a hash
+    for every few of them) into groups of about :data:`GROUP`, longest first within a group, and every group is packed by :func:`pack_group`; no bin spans two
     groups, so that the only loss is a few open bins for thousands of documents. Only numbers and names are shuffled.
 
     No bin holds two pieces of one cluster (by default documents of equal text, and so pieces of one document) or
@@ -126,6 +127,10 @@ def pack(docs: DataFrame, capacity: int = 2048, slots: int = 4, cluster: Column
         F.col("doc_id").cast("long").alias("doc_id"), count_words(text).alias("words"), F.col("source").cast("string").alias("source"),
         (same_text(text) if cluster is None else cluster.cast("long")).alias("cluster"))
     groups = -(-docs.select(F.lit(1)).count() // GROUP) or 1
-    dealt = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(groups)))
-    ordered = dealt.repartition(min(groups, 100_000), "pack").sortWithinPartitions("pack", F.desc("words"), "doc_id", "cluster", "source")
-    return ordered.mapInPandas(_pack(capacity, slots), SCHEMA)
+    share = max(1, GROUP // 16)  # copies of one row that are dealt together
+    counted = rows.groupBy("doc_id", "words", "source", "cluster").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {share}"))))
+    copies = F.least(F.col("n") - F.col("part") * share, F.lit(share)).alias("copies")
+    dealt = parts.select("doc_id", "words", "source", "cluster", "part", copies, F.pmod(F.xxhash64("doc_id", "cluster", "source", "part"), F.lit(groups)).alias("pack"))
+    ordered = dealt.repartition(min(groups, 100_000), "pack").sortWithinPartitions("pack", F.desc("words"), "doc_id", "cluster", "source", "part")
+    return ordered.mapInPandas(_pack(capacity, slots, groups), SCHEMA)
