@@ -86,6 +86,29 @@ def test_near_duplicates_against_pairs(spark):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), label[r["doc_id"]], label[r["doc_id"]] == r["doc_id"])
 
 
+@pytest.mark.parametrize("short", [16, 1])
+def test_near_duplicates_where_an_id_has_several_texts(spark, monkeypatch, short):
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", short)
+    text = lambda name, *changed: " ".join(f"{name}{j}" if j not in changed else f"x{name}{j}" for j in range(120))
+    table = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("b", 60)), (2, text("c")), (4, ""), (4, text("d")), (5, text("d", 7)), (-6, text("e")), (-6, text("e", 9)),
+             (7, text("e", 119)), (8, text("f")), (8, text("f")), (8, text("g")), (8, None), (None, text("a")), (9, text("h", 5, 50, 90)), (9, text("i")), (10, text("h", 100)), (10, "")]
+    table += [(20 + i, text("k", i, i + 40)) for i in range(24)] + [(20, text("l"))]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    words = [(t or "").split() for _, t in table]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in words]
+    label = list(range(len(table)))
+    for a, b in itertools.combinations(range(len(table)), 2):
+        if None not in (table[a][0], table[b][0]) and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            label = [label[a] if x == label[b] else x for x in label]
+    least = [min((table[j][0] for j in range(len(table)) if label[j] == label[i]), key=lambda x: (x is None, x)) for i in range(len(table))]
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(near_dedup.near_duplicates(docs))]
+    order = lambda r: [(x is None, x or 0) for x in r]
+    assert sorted(found, key=order) == sorted(((table[i][0], len(sets[i]), least[i]) for i in range(len(table))), key=order)
+    kept = [(r["doc_id"], r["text"]) for r in rows(near_dedup.drop_near_duplicates(docs))]
+    assert len(kept) == len(set(label)) == len({label[table.index(k)] for k in kept})
+    assert all(k[0] == least[table.index(k)] for k in kept)
+
+
 def test_sketches_of_linked_pairs_share_enough():
     rng = np.random.default_rng(2)
     any_size, larger = near_dedup.least_shared()

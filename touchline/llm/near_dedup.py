@@ -27,6 +27,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql.types import BinaryType
 
 from touchline.functions.lineage import cut_lineage
 from touchline.llm.components import components
@@ -118,6 +120,29 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _keys(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    """Id and digest of each text as bytes in the order of (id, digest); NULL for a NULL id."""
+    digests = [_digest(s) for at in range(0, len(texts), ROWS) for s in _hashed(texts.slice(at, ROWS))]
+    return pa.array([None if i is None else (i + (1 << 63)).to_bytes(8, "big") + d for i, d in zip(ids.to_pylist(), digests, strict=True)], pa.binary())
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    return arrow_udf(_keys, BinaryType())(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    """The texts with such a key as their ``doc_id``."""
+    return texts.select(_key(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+
+
+def _id_of(key: Column) -> Column:
+    return (F.conv(F.hex(F.substring(key, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
+def _kind(table: DataFrame, column: str) -> str:
+    return dict(table.dtypes)[column]
+
+
 def _bound(which: int, n: Column) -> Column:
     return F.element_at(F.lit(least_shared()[which]), F.least(n, F.lit(SURE_UPTO)).cast("int"))
 
@@ -164,17 +189,17 @@ def among(table: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") ->
 
 
 def _one_text(texts: DataFrame) -> DataFrame:
-    """``doc_id``, ``bits``, ``full``: bitmap and full set of each id. Of an id with several rows it is that of the smallest digest."""
-    sets = cut_lineage(texts.mapInArrow(_sets, "doc_id long, same binary, bits binary, full array<long>"))
+    """``doc_id``, ``bits``, ``full``: bitmap and full set of each id. All rows of an id have equal sets."""
+    sets = cut_lineage(texts.mapInArrow(_sets, f"doc_id {_kind(texts, 'doc_id')}, same binary, bits binary, full array<long>"))
     if sets.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return sets.select("doc_id", "bits", "full")
     return sets.groupBy("doc_id").agg(F.min(F.struct("same", "bits", "full")).alias("s")).select("doc_id", "s.bits", "s.full")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets are similar enough. Sets are made again for the documents in question only."""
     pairs = cut_lineage(pairs)
-    one = _one_text(among(_texts(docs), "doc_id", pairs.select("a").union(pairs.select("b"))))
+    one = _one_text(among(texts, "doc_id", pairs.select("a").union(pairs.select("b"))))
     side = lambda x: one.select(F.col("doc_id").alias(x), F.col("full").alias(f"f_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("f_a", "f_b"))
@@ -208,7 +233,7 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in range(len(left)):
             ok = (label[b_c] != label[a_c[i]]) & (3 * np.maximum(a_n[i], b_n) <= 4 * np.minimum(a_n[i], b_n))
             if one == two:
-                ok &= b_id > a_id[i]
+                ok[: i + 1] = False
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
@@ -222,7 +247,7 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if 100 * shared >= 75 * (a_n[i] + b_n[j] - shared):
                     found.append((min(a_id[i], b_id[j]), max(a_id[i], b_id[j])))
                     label[label == label[b_c[j]]] = label[a_c[i]]
-        return pd.DataFrame({"a": np.array([x for x, _ in found], np.int64), "b": np.array([x for _, x in found], np.int64)})
+        return pd.DataFrame({"a": np.array([x for x, _ in found], a_id.dtype), "b": np.array([x for _, x in found], a_id.dtype)})
 
     for frame in frames:
         for _, rows in frame.groupby(["group", "p", "q"], sort=False):
@@ -234,8 +259,8 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle(pd.concat(held))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a``, ``b``: links that connect every component of classes. ``classes`` has ``id``, ``n``, ``sketch``."""
+def links(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a``, ``b``: links that connect every component of classes. ``classes`` has ``id``, ``n``, ``sketch``; ``texts`` has ``doc_id``, ``text``."""
     lists = inverted_lists(classes)
     short, long_ = lists.filter(F.col("length") <= SHORT_LIST), lists.filter(F.col("length") > SHORT_LIST)
     x, y = short.filter("index").alias("x"), short.alias("y")
@@ -244,7 +269,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     hubs = long_.groupBy("value").agg(F.min(F.struct("id", "n")).alias("hub"))
     stars = cut_lineage(long_.join(hubs, "value").filter(F.col("hub.id") != F.col("id")).select(
         F.col("hub.id").alias("a"), F.col("id").alias("b"), _fits(F.col("hub.n"), F.col("n")).alias("fits")).distinct())
-    found = cut_lineage(_confirmed(_estimated(pairs.union(stars.filter("fits").select("a", "b")).distinct(), classes), docs))
+    found = cut_lineage(_confirmed(_estimated(pairs.union(stars.filter("fits").select("a", "b")).distinct(), classes), texts))
     # documents that meet in long lists, directly or over others, are one group; where it is linked as a whole nothing is left to do
     groups = components(stars).select("id", F.col("component").alias("group"))
     labelled = cut_lineage(groups.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -252,11 +277,38 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK)
     rest = cut_lineage(labelled.join(apart.select("group", "members"), "group").select(
         "id", "group", "component", F.pmod(F.xxhash64("id"), blocks).alias("own"), F.sequence(F.lit(0).cast("long"), blocks - 1).alias("others")))
-    sets = _one_text(among(_texts(docs), "doc_id", rest.select("id")))
+    sets = _one_text(among(texts, "doc_id", rest.select("id")))
     dealt = rest.join(sets.withColumnRenamed("doc_id", "id"), "id").withColumn("other", F.explode("others")).select(
         "group", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", F.size("full").alias("n"), "component", "bits", "full")
     ordered = dealt.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q")
-    return found.union(ordered.mapInPandas(_compare, "a long, b long"))
+    return found.union(ordered.mapInPandas(_compare, "a {0}, b {0}".format(_kind(classes, "id"))))
+
+
+def _sketched(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and for each set ``same`` and id the ``n`` of the set and its ``copies``."""
+    sketched = cut_lineage(texts.mapInArrow(_sketches, f"doc_id {_kind(texts, 'doc_id')}, n long, same binary, sketch array<long>"))
+    rows = sketched.filter("doc_id IS NOT NULL").groupBy("same", "doc_id").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+    return sketched, cut_lineage(rows)
+
+
+def _judged(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """For every row ``id``, ``n``, ``component`` and ``kept``, and whether the ids are keys of (doc_id, digest): so where a doc_id has several sets."""
+    texts = _texts(docs)
+    sketched, rows = _sketched(texts)
+    keyed = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if keyed:
+        texts = _keyed(texts)
+        sketched, rows = _sketched(texts)
+    named, full = sketched.filter("n > 0 AND doc_id IS NOT NULL"), rows.filter("n > 0").drop("n")
+    members = cut_lineage(full.join(full.groupBy("same").agg(F.min("doc_id").alias("id")), "same"))
+    others = members.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    classes = among(named, "doc_id", others.select("b"), "left_anti").select(F.col("doc_id").alias("id"), "n", "same", "sketch")
+    if not members.filter("copies > 1").isEmpty():  # else every id has one row
+        classes = cut_lineage(classes.groupBy("id").agg(F.min(F.struct("same", "n", "sketch")).alias("c")).select("id", "c.*"))
+    labels = cut_lineage(components(links(texts, classes).union(others)))
+    found = sketched.select(F.col("doc_id").alias("id"), "n").join(labels, "id", "left")
+    found = found.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component"))
+    return found.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True))), keyed
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,28 +318,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     have a Jaccard similarity of 0.75 or more; ``component_id`` is the smallest doc_id reachable over links. Texts that
     are NULL or without words have no shingles and are linked with nothing. Rows of equal texts are one class. A row
     with a NULL doc_id cannot be named as a representative: it stays alone (``component_id`` NULL, ``kept`` true).
-    Rows that repeat a doc_id share its component; should their texts differ, the one of the smallest digest is compared. Other columns are left aside; an empty table gives an empty result.
+    Rows that repeat a doc_id are documents of their own where their sets differ, and the one of the smallest digest is
+    kept where they are linked; rows of equal sets are reported alike. Other columns are left aside; an empty table gives an empty result.
     """
-    sketched = cut_lineage(_texts(docs).mapInArrow(_sketches, "doc_id long, n long, same binary, sketch array<long>"))
-    named = sketched.filter("n > 0 AND doc_id IS NOT NULL")
-    rows = cut_lineage(named.groupBy("same", "doc_id").agg(F.count("*").alias("copies")))
-    members = cut_lineage(rows.join(rows.groupBy("same").agg(F.min("doc_id").alias("id")), "same"))
-    others = members.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    classes = among(named, "doc_id", others.select("b"), "left_anti").select(F.col("doc_id").alias("id"), "n", "same", "sketch")
-    if not members.groupBy("doc_id").agg(F.sum("copies").alias("rows")).filter("rows > 1").isEmpty():  # else every id has one row
-        classes = cut_lineage(classes.groupBy("id").agg(F.min(F.struct("same", "n", "sketch")).alias("c")).select("id", "c.*"))
-    labels = cut_lineage(components(links(docs, classes).union(others)))
-    component = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return component.select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found, keyed = _judged(docs)
+    name = _id_of if keyed else lambda c: c
+    return found.select(name(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), name(F.col("component")).alias("component_id"), "kept")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, columns as they are: one document of each component."""
-    found = cut_lineage(near_duplicates(docs))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), "text")
-    kept = among(whole, "_doc", found.filter("NOT kept").select("doc_id"), "left_anti")
-    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that repeat
+    found, keyed = _judged(docs)
+    found = cut_lineage(found)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    whole = docs.select(row, (_key(F.col("doc_id"), F.col("text")) if keyed else F.col("doc_id").cast("long")).alias("_doc"))
+    kept = among(whole, "_doc", found.filter("NOT kept").select("id"), "left_anti")
+    if not found.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty():  # rows that repeat
         kept = kept.filter("_doc IS NULL").union(kept.filter("_doc IS NOT NULL").dropDuplicates(["_doc"]))
     return kept.select("_row.*")
