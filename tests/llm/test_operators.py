@@ -328,6 +328,22 @@ def test_licenses_with_one_word_inserted_or_changed(spark):
     assert found[0]["licenses"] == "GPL-3.0"
 
 
+def test_licenses_that_are_alike_are_told_apart(spark):
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+           "1. Redistributions of source code must retain the above copyright notice. 2. Redistributions in binary form must reproduce it.")
+    third = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU {} Public License"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    epl = "This program and the accompanying materials are made available under the terms of the Eclipse Public License {} which is available at"
+    texts = {
+        bsd: "BSD", bsd + third: "BSD,BSD-3-Clause", gnu.format("General"): "", gnu.format("Lesser General"): "LGPL", gnu.format("Affero General"): "AGPL",
+        isc + ".": "", isc + ", provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        epl.format("v1.0"): "EPL-1.0", epl.format("2.0"): "EPL-2.0", epl.format("v2.0"): "EPL-2.0", epl.format("v. 2.0"): "EPL-2.0"}
+    found = {r["doc_id"]: r["licenses"] for r in rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [found[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     y = spark.read.parquet(f"{sf}/labels.parquet")

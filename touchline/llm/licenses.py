@@ -21,7 +21,8 @@ SHINGLE = 3  # words
 SEED = 9  # of the order of a template's shingles
 CONTAINED = 0.8  # share of a template's shingles that a document must hold
 BROADCAST_ROWS = 200_000
-# Public license notices as projects print them.
+# Public license notices as projects print them. The opening that both BSD texts share is named BSD; the clause that only
+# one of them has is BSD-3-Clause. Of licenses with like notices, only the words that tell them apart are listed.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
@@ -35,11 +36,20 @@ NOTICES = (
                          "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
                          "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("LGPL", "under the terms of the GNU Lesser General Public License"),
+    ("AGPL", "under the terms of the GNU Affero General Public License"),
+    ("ISC", "with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-1.0", "under the terms of the Eclipse Public License v1.0"),
+    ("EPL-2.0", "under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "under the terms of the Eclipse Public License v2.0"),
+    ("EPL-2.0", "under the terms of the Eclipse Public License v. 2.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
