@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from touchline.llm import licenses, mixing, near_dedup, packing, quality_cnn, quality_rules, token_counts, toxicity, warc, winnowing
+from touchline.llm import collision_search, licenses, mixing, near_dedup, packing, quality_cnn, quality_rules, token_counts, toxicity, vector_codes, warc, whitening, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +83,25 @@ def _(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query("op11_vector_codes", vector_codes.oracle())
+def _(spark, sf_dir):
+    return vector_codes.compress(embeddings(spark, sf_dir))
+
+
+@query("op12_nearest_vectors")
+def _(spark, sf_dir):
+    return collision_search.neighbours(embeddings(spark, sf_dir))
+
+
+@query("op13_whitening")
+def _(spark, sf_dir):
+    return whitening.whiten(embeddings(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
