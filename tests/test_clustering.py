@@ -5,7 +5,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import functions as F
 
 from touchline.functions.tests_of_difference import f_tail, t_two_sided
-from touchline.operators import clustering, validation
+from touchline.operators import clustering, fits, validation
 
 
 @pytest.fixture(scope="module")
@@ -47,9 +47,10 @@ def test_bootstrap_pooled_rate_equals_pairs(spark):
     assert pairs == {("a", "b"): 1.0, ("a", "c"): pytest.approx(3 / 5)}
 
 
-def test_bootstrap_weights_have_poisson_mean(spark):
-    m = spark.range(4000).select(F.avg(clustering.bootstrap_weight(F.col("id"), 1, 42)).alias("m")).first()["m"]
-    assert m == pytest.approx(1.0, abs=0.06)
+def test_bootstrap_weights_are_poisson_and_unlike_each_other(spark):
+    w = np.array([r["w"] for r in spark.range(4000).select(fits.row_hash(F.col("id")).alias("h")).select(fits.drawn(F.col("h"), 20, 42).alias("w")).collect()])
+    assert np.abs(w.mean(0) - 1).max() < 0.08 and np.abs(w.var(0) - 1).max() < 0.15 and np.abs(w.mean(1) - 1).max() < 1.3
+    assert np.abs(np.corrcoef(w.T) - np.eye(20)).max() < 0.08
 
 
 def test_leave_one_out_on_clear_groups(blobs):
@@ -69,3 +70,131 @@ def test_kappa_and_auc(spark):
     assert rows(validation.cohen_kappa(df, "x", "y"), "kappa", "interpretation", "agreement_rate") == [(0.5, "Moderate", 0.75)]
     b = spark.createDataFrame([(1, 0.9), (0, 0.9), (0, 0.1), (1, 0.5)], "y int, s double")
     assert spark.range(1).select(validation.binary_auc(b, "s", "y").alias("a")).first()["a"] == pytest.approx(0.625)
+
+
+def _plain_lloyd(x, w, centres):
+    for _ in range(300):
+        at = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.array([(x[at == c] * w[at == c, None]).sum(0) / w[at == c].sum() if w[at == c].sum() else centres[c] for c in range(len(centres))])
+        if np.allclose(new, centres, atol=0, rtol=0):
+            break
+        centres = new
+    return centres
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    rng = np.random.default_rng(6)
+    data = [(f"r{i:03d}", *map(float, rng.normal(size=3))) for i in range(240)]
+    return clustering.cut_lineage(clustering.assemble(spark.createDataFrame(data, "name string, x double, y double, z double"), ["x", "y", "z"]))
+
+
+def test_runs_side_by_side_rest_where_single_runs_rest(cloud):
+    rows_ = fits.points(cloud, "name", F.array(F.lit(1), (F.col("h") % 3).cast("int")))
+    wanted = [fits.Run(k, start, sample) for k in (2, 5) for start in range(3) for sample in (0, 1)]
+    start = fits.seeds(rows_, wanted, 42)
+    got = fits.kmeans(rows_, wanted, 42)
+    local = rows_.collect()
+    x, w = np.array([r["x"] for r in local]) / fits.GRID, np.array([r["w"] for r in local])
+    assert len({tuple(map(tuple, s)) for s in start}) > 8  # the starts differ
+    for run, first, model in zip(wanted, start, got):
+        assert len(first) == run.k and all((np.abs(x - c).max(1) < 1e-12).any() for c in first)
+        assert np.allclose(_plain_lloyd(x, w[:, run.sample], first), model, atol=1e-9)
+
+
+def test_the_number_of_passes_does_not_depend_on_the_number_of_runs(spark, cloud, monkeypatch):
+    rows_ = fits.points(cloud, "name")
+    passes = []
+    moved = fits._moved
+    monkeypatch.setattr(fits, "_moved", lambda p, m, s: passes.append(len(m)) or moved(p, m, s))
+    fits.kmeans(rows_, fits.runs([3], 1), 42)
+    one = len(passes)
+    fits.kmeans(rows_, fits.runs([2, 3, 4], 10), 42)
+    assert passes[one] == 30 and len(passes) - one < 12 * one and sorted(passes[one:], reverse=True) == passes[one:]
+
+
+def test_best_run_is_the_cheapest(cloud):
+    rows_ = fits.points(cloud, "name")
+    wanted = fits.runs([4], 8)
+    x = np.array([r["x"] for r in rows_.collect()]) / fits.GRID
+    cost = [((x[:, None] - m[None]) ** 2).sum(2).min(1).sum() for m in fits.kmeans(rows_, wanted, 42)]
+    found = fits.best(rows_, wanted, 42)[4, 0]
+    assert ((x[:, None] - found[None]) ** 2).sum(2).min(1).sum() == pytest.approx(min(cost))
+
+
+def test_fewer_different_rows_than_clusters(spark):
+    few = clustering.assemble(spark.createDataFrame([(i, float(i % 2), 1.0) for i in range(20)], "id int, x double, y double"), ["x", "y"])
+    labelled, centres = clustering.fit_kmeans(few, ["x", "y"], 5, n_init=2)
+    assert labelled.select("cluster").distinct().count() == 2 and sorted(r["x"] for r in centres.collect()) == [0.0, 1.0]
+
+
+def test_many_models_have_the_statistics_of_one(cloud):
+    rows_ = fits.points(cloud, "name")
+    models = [fits.best(rows_, fits.runs([k], 2), 42)[k, 0] for k in (2, 4)]
+    for model, got in zip(models, fits.qualities(rows_, models)):
+        labelled = cloud.withColumn("cluster", fits.nearest(fits.on_grid(clustering.vector_to_array("features")), model))
+        want = clustering.cluster_quality(labelled)[0].first()
+        assert all(got[c] == pytest.approx(want[c], rel=1e-4) for c in got)
+
+
+def _plain_density(x, m):
+    out = []
+    for weight, mean, low in zip(m.weights, m.means, m.factors):
+        spread = low @ low.T
+        d = x - mean
+        out.append(weight * np.exp(-0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(spread), d)) / np.sqrt((2 * np.pi) ** x.shape[1] * np.linalg.det(spread)))
+    return np.array(out).T
+
+
+def test_two_mixture_steps_are_plain_ones(cloud):
+    rows_ = fits.points(cloud, "name")
+    x = np.array([r["x"] for r in rows_.collect()]) / fits.GRID
+    model = fits.mixture_start(rows_, [fits.best(rows_, fits.runs([3], 2), 42)[3, 0]])[0]
+    for _ in range(2):
+        p = _plain_density(x, model)
+        r = p / p.sum(1)[:, None]
+        after = fits.mixture_steps(rows_, [model, model])
+        assert after[0].likelihood == pytest.approx(np.log(p.sum(1)).mean()) and np.allclose(after[0].means, after[1].means)
+        n = r.sum(0)
+        assert np.allclose(after[0].weights, n / n.sum()) and np.allclose(after[0].means, r.T @ x / n[:, None])
+        for c in range(3):
+            d = x - after[0].means[c]
+            assert np.allclose(after[0].factors[c] @ after[0].factors[c].T, (r[:, c, None] * d).T @ d / n[c] + fits.RIDGE * np.eye(3), atol=1e-9)
+        model = after[0]
+
+
+def test_likelihood_never_falls_and_shares_are_those_of_the_densities(cloud):
+    rows_ = fits.points(cloud, "name", keep=["name"])
+    model = fits.mixture_start(rows_, [fits.best(rows_, fits.runs([3], 2), 42)[3, 0]])[0]
+    steps = []
+    for _ in range(12):
+        model = fits.mixture_steps(rows_, [model])[0]
+        steps.append(model.likelihood)
+    assert all(b >= a - 1e-9 for a, b in zip(steps, steps[1:]))
+    got = rows_.select("x", fits.shares(F.col("x"), model).alias("p")).collect()
+    p = _plain_density(np.array([r["x"] for r in got]) / fits.GRID, model)
+    assert np.allclose([r["p"] for r in got], p / p.sum(1)[:, None], atol=1e-9)
+
+
+def test_agreement_names_both_styles(blobs):
+    labelled, _ = clustering.fit_kmeans(blobs, ["x", "y"], 3, n_init=3)
+    moved = labelled.withColumn("cluster", F.when(F.col("team") == "t00", (F.col("cluster") + 1) % 3).otherwise(F.col("cluster")))
+    stats, different = clustering.mixture_agreement(moved, 3, "team", n_init=3, names=["a", "b", "c"], metrics=["x"])
+    s, d = stats.first(), different.collect()
+    assert [r["team"] for r in d] == ["t00"] and d[0]["kmeans_archetype"] != d[0]["gmm_archetype"] and {"x"} <= set(different.columns)
+    assert s["gmm_silhouette"] > s["kmeans_silhouette"] and s["raw_agreement"] == round(35 / 36, 3)
+
+
+def test_mean_rate_of_an_anchor(spark):
+    labels = spark.createDataFrame([(0, "a", 0, 1.0), (0, "b", 0, 1.0), (0, "c", 1, 1.0), (0, "d", 1, 1.0)], "resample int, team string, cluster int, weight double")
+    got = clustering.bootstrap_pairs(labels, "team", labels.filter("team in ('a', 'c')").select("team")).collect()
+    assert {(r["anchor"], r["partner"]): r["rate"] for r in got}["a", "b"] == 1.0 and all(r["mean_rate"] == pytest.approx(1 / 3) for r in got)
+
+
+def test_axes_of_the_covariance(cloud):
+    scores, shares = clustering.principal_components(cloud, ["name"], 3)
+    local = {r["name"]: [r["x"], r["y"], r["z"]] for r in cloud.collect()}
+    x = np.array(list(local.values()))
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    got = np.array([[r["pc1"], r["pc2"], r["pc3"]] for r in sorted(scores.collect(), key=lambda r: list(local).index(r["name"]))])
+    assert np.allclose(np.cov(got.T), np.diag(values), atol=1e-9) and np.allclose(shares, values / values.sum()) and np.allclose(got.mean(0), 0, atol=1e-12)

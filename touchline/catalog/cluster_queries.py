@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from touchline.catalog import fit_sql
 from touchline.catalog.registry import f_tail_sql, query
 from touchline.functions.columns import rounded
 from touchline.operators import clustering, validation
@@ -69,17 +70,58 @@ def _vectors(t):
     return clustering.cut_lineage(clustering.assemble(t.v_features, FEATURES))
 
 
-def _clustered(t, k=3):
-    return clustering.fit_kmeans(_vectors(t), FEATURES, k, n_init=2)
+# Settings of the fits: clusters, starts, resamples and the tried numbers of clusters. Whole numbers that must match.
+K, STARTS, RESAMPLES, RESAMPLE_STARTS, TRIED = 6, 20, 100, 10, list(range(2, 10))
+DIMS = len(FEATURES)
 
 
-query("c6_fit_kmeans", lambda t: _clustered(t)[0].select("vec_id", "cluster", "archetype"))
-query("c6_centroids", lambda t: rounded(_clustered(t)[1].select("cluster", "archetype", "size", *FEATURES)))
-query("c7_mixture_probabilities", lambda t: clustering.mixture_probabilities(_clustered(t)[0], 3, n_init=1).select("vec_id", "cluster", "gmm_aligned", "proba"))
-query("c8_sweep_k", lambda t: clustering.sweep_k(_vectors(t), [2, 3, 4], n_init=1))
-query("c8_decision_matrix", lambda t: clustering.decision_matrix(clustering.sweep_k(_vectors(t), [2, 3, 4], n_init=1)))
-query("c9_mixture_agreement", lambda t: clustering.mixture_agreement(_clustered(t)[0], 3, "vec_id", n_init=1)[0])
-query("c9_mixture_disagreements", lambda t: clustering.mixture_agreement(_clustered(t)[0], 3, "vec_id", n_init=1)[1])
+def _clustered(t):
+    return clustering.fit_kmeans(_vectors(t), FEATURES, K, STARTS, key="vec_id")
+
+
+FIT = fit_sql.kmeans("v_features", "vec_id", FEATURES, [K], STARTS)
+NUMBERED = f"""{FIT}, nu AS (SELECT l.cluster AS c, row_number() OVER (ORDER BY avg(f1) DESC, l.cluster)::INT - 1 AS cluster, {', '.join(f'avg({f}) AS {f}' for f in FEATURES)}, count(*) AS size
+  FROM lab l JOIN v_features ON vec_id = id GROUP BY l.cluster),
+cl AS MATERIALIZED (SELECT id, nu.cluster FROM lab JOIN nu ON lab.cluster = nu.c)"""
+query("c6_fit_kmeans", lambda t: _clustered(t)[0].select("vec_id", "cluster", "archetype"), f"""
+{NUMBERED} SELECT id AS vec_id, cluster, 'Cluster ' || cluster AS archetype FROM cl""")
+query("c6_centroids", lambda t: rounded(_clustered(t)[1].select("cluster", "archetype", "size", *FEATURES)), f"""
+{NUMBERED} SELECT cluster, 'Cluster ' || cluster AS archetype, size, {', '.join(f'ROUND({f}, 4) AS {f}' for f in FEATURES)} FROM nu""")
+GROWN = f"""{NUMBERED}, {fit_sql.mixtures(DIMS)},
+both2 AS MATERIALIZED (SELECT DISTINCT id, cluster, gmm FROM post JOIN cl USING (id)), {fit_sql.aligned('both2', K)},
+pr AS MATERIALIZED (SELECT b.id, b.cluster, a.gmm_aligned::INT AS gmm_aligned, b.gmm FROM both2 b JOIN al a ON a.gmm = b.gmm)"""
+query("c7_mixture_probabilities", lambda t: clustering.mixture_probabilities(_clustered(t)[0], K, n_init=STARTS, key="vec_id").select(
+    "vec_id", "cluster", "gmm_aligned", *[F.col("proba")[i].alias(f"p{i}") for i in range(K)]), f"""
+{GROWN} SELECT pr.id AS vec_id, cluster, pr.gmm_aligned, {', '.join(f'ROUND(MAX(r) FILTER (WHERE al.gmm_aligned = {i}), 4) AS p{i}' for i in range(K))}
+FROM pr JOIN post USING (id) JOIN al ON al.gmm = post.comp GROUP BY ALL""")
+SWEEP = f"""{fit_sql.kmeans("v_features", "vec_id", FEATURES, TRIED, STARTS)}, {fit_sql.mixtures(DIMS)}, {fit_sql.quality('lab', DIMS)},
+gp AS MATERIALIZED (SELECT DISTINCT lab.k, id, cluster AS a, gmm AS b FROM lab JOIN post USING (k, id)),
+sw AS MATERIALIZED (SELECT k::INT AS k, ROUND(silhouette, 3) AS silhouette, ROUND(calinski_harabasz, 1) AS calinski_harabasz, ROUND(davies_bouldin, 3) AS davies_bouldin,
+  ROUND(ari, 3) AS gmm_ari, ROUND(inertia, 1) AS inertia FROM ql JOIN ({fit_sql.rand_index('gp')}) r USING (k))"""
+query("c8_sweep_k", lambda t: clustering.sweep_k(_vectors(t), TRIED, STARTS, key="vec_id"), f"{SWEEP} SELECT * FROM sw")
+
+
+def _rank_sql(column, order):
+    return f"FLOOR(RANK() OVER (ORDER BY {column} {order}) + (COUNT(*) OVER (PARTITION BY {column}) - 1) / 2e0)::INT"
+
+
+query("c8_decision_matrix", lambda t: clustering.decision_matrix(clustering.sweep_k(_vectors(t), TRIED, STARTS, key="vec_id")), f"""
+{SWEEP}, rk AS (SELECT *, {_rank_sql('silhouette', 'DESC')} AS rank_sil, {_rank_sql('calinski_harabasz', 'DESC')} AS rank_ch, {_rank_sql('davies_bouldin', 'ASC')} AS rank_db,
+  {_rank_sql('gmm_ari', 'DESC')} AS rank_ari FROM sw)
+SELECT *, ROUND((rank_sil + rank_ch + rank_db + rank_ari) / 4e0, 2) AS avg_rank FROM rk""")
+
+
+def _agreement(t):
+    return clustering.mixture_agreement(_clustered(t)[0], K, "vec_id", n_init=STARTS, names=team_styles.STYLES, metrics=FEATURES)
+
+
+query("c9_mixture_agreement", lambda t: _agreement(t)[0], f"""
+{GROWN}, two AS MATERIALIZED (SELECT 0 AS k, id, cluster FROM pr UNION ALL SELECT 1, id, gmm_aligned FROM pr), {fit_sql.quality('two', DIMS)}, ab AS (SELECT 0 AS k, cluster AS a, gmm AS b FROM pr)
+SELECT ROUND(AVG((cluster = gmm_aligned)::INT), 3) AS raw_agreement, COUNT(*) AS "rows", (SELECT ROUND(ari, 3) FROM ({fit_sql.rand_index('ab')}) r) AS ari,
+  (SELECT ROUND(silhouette, 3) FROM ql WHERE k = 0) AS kmeans_silhouette, (SELECT ROUND(silhouette, 3) FROM ql WHERE k = 1) AS gmm_silhouette FROM pr""")
+query("c9_mixture_disagreements", lambda t: rounded(_agreement(t)[1]), f"""
+{GROWN} SELECT vec_id, cluster, gmm_aligned, {STYLE_CASE.format(k='cluster')} AS kmeans_archetype, {STYLE_CASE.format(k='gmm_aligned')} AS gmm_archetype, {', '.join(f'ROUND({f}, 4) AS {f}' for f in FEATURES)}
+FROM pr JOIN v_features ON vec_id = id WHERE cluster <> gmm_aligned""")
 query("c9_adjusted_rand", lambda t: rounded(t.embeddings.select("label", (F.col("vec_id") % 5).alias("b"), (F.col("label") % 3).alias("c")).transform(
     lambda d: d.sparkSession.range(1).select(clustering.adjusted_rand(d, "label", "b").alias("ari_random"), clustering.adjusted_rand(d, "label", "c").alias("ari_coarse")))), """
 WITH p AS (SELECT label AS a, vec_id % 5 AS b, label % 3 AS c FROM embeddings),
@@ -88,10 +130,25 @@ WITH p AS (SELECT label AS a, vec_id % 5 AS b, label % 3 AS c FROM embeddings),
  ab AS (SELECT SUM(n * (n - 1) / 2e0) AS s FROM (SELECT COUNT(*) AS n FROM p GROUP BY a, b) z), ac AS (SELECT SUM(n * (n - 1) / 2e0) AS s FROM (SELECT COUNT(*) AS n FROM p GROUP BY a, c) z)
 SELECT ROUND((ab.s - sa.s * sb.s / t.n) / ((sa.s + sb.s) / 2 - sa.s * sb.s / t.n), 4) AS ari_random,
   ROUND((ac.s - sa.s * sc.s / t.n) / ((sa.s + sc.s) / 2 - sa.s * sc.s / t.n), 4) AS ari_coarse FROM t, sa, sb, sc, ab, ac""")
-query("c10_sensitivity", lambda t: clustering.sensitivity(_vectors(t), "vec_id", t.v_features.filter("vec_id < 12"), [2, 3, 4], n_init=1))
-query("c11_bootstrap_stability", lambda t: clustering.bootstrap_stability(clustering.bootstrap_labels(_vectors(t), "vec_id", 3, 3, n_init=1), "vec_id"))
-query("c11_bootstrap_pairs", lambda t: rounded(clustering.bootstrap_pairs(
-    clustering.bootstrap_labels(_vectors(t), "vec_id", 3, 3, n_init=1), "vec_id", t.v_features.filter("vec_id < 5"))))
+query("c10_sensitivity", lambda t: clustering.sensitivity(_vectors(t), "vec_id", t.v_features.filter("vec_id < 12"), [K - 1, K, K + 1], STARTS).drop("cluster"), f"""
+{fit_sql.kmeans("v_features", "vec_id", FEATURES, [K - 1, K, K + 1], STARTS)}
+SELECT k::INT AS k, STRING_AGG(id::VARCHAR, ', ' ORDER BY id) AS members, COUNT(*) AS n_members FROM lab WHERE id < 12 GROUP BY k, cluster""")
+BOOTSTRAP = f"""{fit_sql.kmeans("v_features", "vec_id", FEATURES, [K], RESAMPLE_STARTS, RESAMPLES, fit_sql.drawn(RESAMPLES))},
+bl AS MATERIALIZED (SELECT l.sample, l.id, l.cluster, w.w FROM lab l JOIN wt w ON w.id = l.id AND w.sample = l.sample)"""
+
+
+def _bootstrap(t):
+    return clustering.bootstrap_labels(_vectors(t), "vec_id", RESAMPLES, K, n_init=RESAMPLE_STARTS)
+
+
+query("c11_bootstrap_stability", lambda t: clustering.bootstrap_stability(_bootstrap(t), "vec_id"), f"""
+{BOOTSTRAP}, g AS (SELECT id, w, SUM(w) OVER (PARTITION BY sample, cluster) AS c, SUM(w) OVER (PARTITION BY sample) AS s FROM bl),
+ r AS (SELECT id, SUM(w * (c - w)) / SUM(w * (s - w))::DOUBLE AS r FROM g GROUP BY id)
+SELECT id AS vec_id, ROUND(r, 3) AS mean_cooccurrence, r >= 0.7 AS stable FROM r""")
+query("c11_bootstrap_pairs", lambda t: rounded(clustering.bootstrap_pairs(_bootstrap(t), "vec_id", t.v_features.filter("vec_id < 5"))), f"""
+{BOOTSTRAP}, r AS (SELECT a.id AS anchor, b.id AS partner, SUM(CASE WHEN a.cluster = b.cluster THEN a.w * b.w ELSE 0 END) / SUM(a.w * b.w)::DOUBLE AS rate
+  FROM bl a JOIN bl b ON a.sample = b.sample AND a.id <> b.id WHERE a.id < 5 GROUP BY a.id, b.id)
+SELECT anchor, partner, ROUND(rate, 4) AS rate, ROUND(AVG(rate) OVER (PARTITION BY anchor), 4) AS mean_rate FROM r""")
 ANOVA = """l AS (UNPIVOT (SELECT label, f1, f2, f3, f4 FROM v_features) ON f1, f2, f3, f4 INTO NAME metric VALUE v),
  c AS (SELECT metric, label, COUNT(*) AS n, AVG(v) AS m, VAR_POP(v) AS s FROM l GROUP BY metric, label HAVING COUNT(*) > 1),
  g AS (SELECT metric, COUNT(*) AS k, SUM(n) AS nn, SUM(n * s) AS w, SUM(n * m * m) - SUM(n * m) * SUM(n * m) / SUM(n) AS b FROM c GROUP BY metric)"""
@@ -101,7 +158,13 @@ query("c12_anova_p_values", lambda t: validation.anova(t.v_features, "label", FE
 WITH {ANOVA}, f AS (SELECT metric, (b / (k - 1)) / (w / (nn - k)) AS f, k - 1 AS d1, nn - k AS d2 FROM g),
  p AS (SELECT *, {f_tail_sql("f", "d1", "d2")} AS p FROM f)
 SELECT metric, ROUND(f, 3) AS "F_statistic", ROUND(p, 4) AS p_value, p <= 0.05 AS significant FROM p""")
-query("c13_leave_one_out", lambda t: clustering.leave_one_out(_vectors(t), "vec_id", [1, 2], 3, n_init=1))
+ANCHORS = list(range(1, 11))
+LOO_WEIGHTS = f"SELECT id, sample, 1 AS w FROM pts, (SELECT range AS sample FROM range({len(ANCHORS) + 1})) WHERE sample = 0 OR id <> [{', '.join(map(str, ANCHORS))}][sample]"
+query("c13_leave_one_out", lambda t: clustering.leave_one_out(_vectors(t), "vec_id", ANCHORS, K, STARTS).select("vec_id", "stable"), f"""
+{fit_sql.kmeans("v_features", "vec_id", FEATURES, [K], STARTS, len(ANCHORS) + 1, LOO_WEIGHTS)},
+ mt AS (SELECT n.sample, n.cluster, arg_min(o.cluster, {fit_sql.gap('n', 'o', DIMS, 'c', 'c')}) AS old FROM centre n, centre o WHERE o.sample = 0 AND n.sample > 0 GROUP BY n.sample, n.cluster)
+SELECT l.id AS vec_id, b.cluster = mt.old AS stable FROM lab l JOIN mt ON mt.sample = l.sample AND mt.cluster = l.cluster JOIN lab b ON b.id = l.id AND b.sample = 0
+WHERE l.sample > 0 AND l.id = [{', '.join(map(str, ANCHORS))}][l.sample]""")
 
 PERIOD = "SELECT 'T' || (o_custkey % 400) AS team, EXTRACT(YEAR FROM o_orderdate)::INT % 3 AS period, o_orderkey % 4 AS cluster FROM orders"
 query("c14_temporal_stability", lambda t: rounded(validation.temporal_stability(t.orders.select(
@@ -252,8 +315,32 @@ WITH r AS (SELECT vec_id, label % 3 AS c, f1, f2, f3, f4 FROM v_features), m AS
  sl AS (SELECT vec_id, MAX(CASE WHEN c = oc THEN d / (n - 1) END) AS a, MIN(CASE WHEN c <> oc THEN d / n END) AS b FROM pd GROUP BY vec_id)
 SELECT ROUND((SELECT AVG((b - a) / GREATEST(a, b)) FROM sl), 4) AS silhouette, ROUND((b / (k - 1)) / (w / (nn - k)), 4) AS calinski_harabasz, ROUND(db, 4) AS davies_bouldin, ROUND(w, 4) AS inertia,
   ROUND(b / (w + b), 4) AS variance_explained FROM w, b, db""")
-query("c26_silhouette_by_cluster", lambda t: rounded(clustering.cluster_quality(_clustered(t)[0])[1]))
-query("c27_principal_components", lambda t: rounded(clustering.principal_components(_vectors(t), ["vec_id"])[0]))
+query("c26_silhouette_by_cluster", lambda t: rounded(clustering.cluster_quality(_clustered(t)[0])[1]), f"""
+{NUMBERED}, one AS MATERIALIZED (SELECT 0 AS k, id, cluster FROM cl), {fit_sql.quality('one', DIMS)}
+SELECT cluster, ROUND(AVG(s), 4) AS silhouette, COUNT(*) AS n_rows FROM sil GROUP BY cluster""")
+AXES = f"""pts AS MATERIALIZED (SELECT vec_id AS id, {', '.join(f'{f} - AVG({f}) OVER () AS v{i + 1}' for i, f in enumerate(FEATURES))} FROM v_features),
+ cv AS MATERIALIZED (SELECT {', '.join(f'SUM(v{i + 1} * v{j + 1}) / (COUNT(*) - 1) AS s{i}_{j}' for i in range(DIMS) for j in range(DIMS))} FROM pts)"""
+
+
+def _axis(name, after):
+    """Power iteration on the covariance less the axes found before."""
+    less = lambda i, j: f"(s{i}_{j}" + "".join(f" - {b}.e * {b}.x{i} * {b}.x{j}" for b in after) + ")"
+    rows = [" + ".join(f"{less(i, j)} * p.x{j}" for j in range(DIMS)) for i in range(DIMS)]
+    length = "sqrt(" + " + ".join(f"y{i} * y{i}" for i in range(DIMS)) + ")"
+    xs = ", ".join(f"x{i}" for i in range(DIMS))
+    return f"""{name}_p(it, {xs}, e) AS (SELECT 0, {', '.join(f'{1 + 0.37 * i}e0' for i in range(DIMS))}, 0e0 UNION ALL
+  SELECT it + 1, {', '.join(f'y{i} / {length}' for i in range(DIMS))}, {length} FROM (SELECT p.it, {', '.join(f'{r} AS y{i}' for i, r in enumerate(rows))} FROM {name}_p p, cv{''.join(f', {b}' for b in after)} WHERE p.it < 3000) z),
+ {name} AS MATERIALIZED (SELECT e, {', '.join(f'g * x{i} AS x{i}' for i in range(DIMS))} FROM (SELECT *, CASE GREATEST({', '.join(f'ABS(x{i})' for i in range(DIMS))}) {
+    ' '.join(f'WHEN ABS(x{i}) THEN SIGN(x{i})' for i in range(DIMS))} END AS g FROM {name}_p WHERE it = 3000) z)"""
+
+
+query("c27_principal_components", lambda t: rounded(clustering.principal_components(_vectors(t), ["vec_id"])[0]), f"""
+WITH RECURSIVE {AXES}, {_axis('a1', [])}, {_axis('a2', ['a1'])}
+SELECT id AS vec_id, {', '.join(f"ROUND({' + '.join(f'v{i + 1} * a{n}.x{i}' for i in range(DIMS))}, 4) AS pc{n}" for n in (1, 2))} FROM pts, a1, a2""")
+query("c27_explained_variance", lambda t: rounded(t.v_features.sparkSession.createDataFrame(
+    [(i + 1, v) for i, v in enumerate(clustering.principal_components(_vectors(t), ["vec_id"])[1])], "component int, share double")), f"""
+WITH RECURSIVE {AXES}, {_axis('a1', [])}, {_axis('a2', ['a1'])}, tr AS (SELECT {' + '.join(f's{i}_{i}' for i in range(DIMS))} AS t FROM cv)
+SELECT 1 AS component, ROUND(e / t, 4) AS share FROM a1, tr UNION ALL SELECT 2, ROUND(e / t, 4) FROM a2, tr""")
 
 
 def _team_profiles(t):
@@ -319,4 +406,4 @@ SELECT cluster, ROUND(0.15e0 + 0.85e0 * ((SELECT MAX(p) FROM c) - p) / (ph - pl)
 
 query("plan_team_styles", lambda t: rounded(team_styles.team_styles(
     team_styles.match_metrics(t.v_events), t.nation.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("T"), F.col("n_nationkey")).alias("team"), (F.col("n_nationkey") % 7 + 1).alias("outcome_rank")),
-    k=3, n_init=2)))
+    k=K, n_init=STARTS)))

@@ -1,12 +1,11 @@
-"""Team features, k-means and mixtures on Spark ML, and their fit statistics."""
+"""Team features, k-means and mixtures (``fits``), and their fit statistics."""
 
 from __future__ import annotations
 
 from functools import reduce
-from math import exp
 
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
-from pyspark.ml.feature import PCA, VectorAssembler
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -14,9 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import ratio, row_mean, scalar_stats
-from touchline.functions.lineage import cut_lineage
+from touchline.functions.lineage import cut_lineage, join_statistics
 from touchline.functions.ranks import unpivot
 from touchline.functions.scale import cap_outliers
+from touchline.operators import fits
 
 CORE_METRICS = [
     "ppda", "defensive_line_height", "field_tilt_pct", "possession_pct", "progressive_carry_pct", "epr", "npxg",
@@ -103,26 +103,15 @@ def cap_and_scale(teams: DataFrame, upper: dict[str, float] | None = None, colum
 # ---- fits (C6, C7, C10, C13, C27) ----------------------------------------------------
 
 
-def best_kmeans(df: DataFrame, k: int, n_init: int = 20, seed: int = 42, weight: str | None = None) -> KMeansModel:
-    """The cheapest of ``n_init`` seeded fits. The data are read from the cut lineage each time."""
-    best = None
-    for i in range(n_init):
-        km = KMeans(k=k, seed=seed + i, maxIter=50)
-        model = (km.setWeightCol(weight) if weight else km).fit(df)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
-
-
 def fit_kmeans(df: DataFrame, columns: list[str], k: int = 6, n_init: int = 20, names: list[str] | None = None,
-               order_by: str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Labelled rows and centroids in original units.
+               order_by: str | None = None, seed: int = 42, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows and centroids in original units, from the cheapest of ``n_init`` seeded starts that run side by side.
 
     Cluster numbers of a fit carry no meaning, so clusters are renumbered by the mean of
-    ``order_by`` (highest first) and named in that order.
+    ``order_by`` (highest first) and named in that order. A column ``key`` seeds the starts; without one the features do.
     """
-    model = best_kmeans(df, k, n_init, seed)
-    rows = model.transform(df).withColumnRenamed("prediction", "_c")
+    model = fits.best(fits.points(df, key), fits.runs([k], n_init), seed)[k, 0]
+    rows = df.withColumn("_x", fits.on_grid(vector_to_array("features"))).withColumn("_c", fits.nearest(F.col("_x"), model)).drop("_x")
     means = rows.groupBy("_c").agg(*[F.avg(c).alias(c) for c in columns], F.count("*").alias("size"))
     order_by = order_by or columns[0]
     # k rows: the ranks of the clusters
@@ -133,14 +122,11 @@ def fit_kmeans(df: DataFrame, columns: list[str], k: int = 6, n_init: int = 20,
     return named(rows), named(means)
 
 
-def fit_mixture(df: DataFrame, k: int, seed: int = 42, n_init: int = 20) -> DataFrame:
-    """Mixture label and probabilities per row, from the likeliest of ``n_init`` seeded fits."""
-    best = None
-    for i in range(n_init):
-        model = GaussianMixture(k=k, seed=seed + i, maxIter=200, tol=1e-4, predictionCol="gmm", probabilityCol="_p").fit(df)
-        if best is None or model.summary.logLikelihood > best.summary.logLikelihood:
-            best = model
-    return best.transform(df).withColumn("gmm_p", vector_to_array("_p")).drop("_p")
+def fit_mixture(df: DataFrame, k: int, seed: int = 42, n_init: int = 20, key: str | None = None) -> DataFrame:
+    """Mixture label ``gmm`` and probabilities ``gmm_p`` per row, from the likeliest mixture grown from ``n_init`` seeded starts."""
+    model = fits.best_mixtures(fits.points(df, key), [k], n_init, seed)[k]
+    rows = df.withColumn("gmm_p", fits.shares(fits.on_grid(vector_to_array("features")), model))
+    return rows.withColumn("gmm", F.array_position("gmm_p", F.array_max("gmm_p")).cast("int") - 1)
 
 
 def align_labels(rows: DataFrame, a: str, b: str, k: int) -> dict[int, int]:
@@ -159,9 +145,9 @@ def align_labels(rows: DataFrame, a: str, b: str, k: int) -> dict[int, int]:
     return dict(enumerate(best[(1 << k) - 1][1]))
 
 
-def mixture_probabilities(rows: DataFrame, k: int, label: str = "cluster", seed: int = 42, n_init: int = 20) -> DataFrame:
+def mixture_probabilities(rows: DataFrame, k: int, label: str = "cluster", seed: int = 42, n_init: int = 20, key: str | None = None) -> DataFrame:
     """Mixture probabilities with positions aligned to ``label``, 4 decimals."""
-    fitted = cut_lineage(fit_mixture(rows, k, seed, n_init))
+    fitted = cut_lineage(fit_mixture(rows, k, seed, n_init, key))
     to_label = align_labels(fitted, label, "gmm", k)
     source = [next(g for g, c in to_label.items() if c == i) for i in range(k)]
     aligned = F.array(*[F.round(F.element_at("gmm_p", g + 1), 4) for g in source])
@@ -169,55 +155,75 @@ def mixture_probabilities(rows: DataFrame, k: int, label: str = "cluster", seed:
     return fitted.withColumn("proba", aligned).withColumn("gmm_aligned", mapping[F.col("gmm")]).drop("gmm_p")
 
 
-def mixture_agreement(rows: DataFrame, k: int, key: str = "team", label: str = "cluster", seed: int = 42, n_init: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(one row: adjusted Rand index and raw agreement, rows with different labels)."""
-    both = mixture_probabilities(rows, k, label, seed, n_init)
+def mixture_agreement(rows: DataFrame, k: int, key: str = "team", label: str = "cluster", seed: int = 42, n_init: int = 20,
+                      names: list[str] | None = None, metrics: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(one row: adjusted Rand index, raw agreement and the silhouettes of both labellings, rows with different labels).
+
+    The rows show both style names (``names`` by cluster number) and the columns ``metrics``.
+    """
+    both = cut_lineage(mixture_probabilities(rows, k, label, seed, n_init, key))
     same = F.avg((F.col(label) == F.col("gmm_aligned")).cast("double"))
     ari = adjusted_rand(both, label, "gmm")
     stats = both.agg(F.round(same, 3).alias("raw_agreement"), F.count("*").alias("rows")).withColumn("ari", F.round(ari, 3))
-    return stats, both.filter(F.col(label) != F.col("gmm_aligned")).select(key, label, "gmm_aligned")
+    for name, column in (("kmeans_silhouette", label), ("gmm_silhouette", "gmm_aligned")):
+        stats = stats.withColumn(name, F.round(cluster_quality(both, column)[0].select("silhouette").scalar(), 3))
+    style = F.array(*[F.lit(n) for n in names or [f"Cluster {i}" for i in range(k)]])
+    different = both.filter(F.col(label) != F.col("gmm_aligned")).select(
+        key, label, "gmm_aligned", style[F.col(label)].alias("kmeans_archetype"), style[F.col("gmm_aligned")].alias("gmm_archetype"), *metrics)
+    return stats, different
 
 
-def sensitivity(df: DataFrame, key: str, anchors: DataFrame, k_values: list[int], n_init: int = 20) -> DataFrame:
-    """Which anchors share a cluster at each k: (k, cluster, members). Anchors are a short list."""
-    keys = anchors.select(key).distinct()
-    parts = []
-    for k in k_values:
-        rows = best_kmeans(df, k, n_init).transform(df).join(keys, key, "left_semi")
-        parts.append(rows.groupBy(F.col("prediction").alias("cluster")).agg(
-            F.array_join(F.array_sort(F.collect_set(key)), ", ").alias("members"), F.count("*").alias("n_members")
-        ).withColumn("k", F.lit(k)))
-    return reduce(DataFrame.unionByName, parts)
+def sensitivity(df: DataFrame, key: str, anchors: DataFrame, k_values: list[int], n_init: int = 20, seed: int = 42) -> DataFrame:
+    """Which anchors share a cluster at each k: (k, cluster, members). Anchors are a short list; all fits run side by side."""
+    rows = fits.points(df, key, keep=[key])
+    models = fits.best(rows, fits.runs(k_values, n_init), seed)
+    listed = fits.labels(rows.join(anchors.select(key).distinct(), key, "left_semi"), [models[k, 0] for k in k_values], [key])
+    long = listed.select(key, F.posexplode("labels").alias("_i", "cluster")).withColumn("k", F.array(*[F.lit(k) for k in k_values])[F.col("_i")])
+    return long.groupBy("k", "cluster").agg(F.array_join(F.array_sort(F.collect_set(key)), ", ").alias("members"), F.count("*").alias("n_members")).select(
+        "cluster", "members", "n_members", "k")
 
 
 def _distance(features: Column, centre: list[float]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [(features[i] - float(c)) * (features[i] - float(c)) for i, c in enumerate(centre)]))
 
 
-def nearest(features: Column, centres: list[list[float]]) -> Column:
-    """Index of the nearest centre, over a vector column turned array."""
-    return F.array_min(F.array(*[F.struct(_distance(features, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"]
-
-
 def leave_one_out(df: DataFrame, key: str, anchors: list, k: int = 6, n_init: int = 20, seed: int = 42) -> DataFrame:
-    """Refit without each anchor; does its nearest new centre match its old cluster?"""
-    base = best_kmeans(df, k, n_init, seed)
-    old = [c.tolist() for c in base.clusterCenters()]
-    parts = []
-    for anchor in anchors:
-        new = [c.tolist() for c in best_kmeans(df.filter(F.col(key) != anchor), k, n_init, seed).clusterCenters()]
-        # each new centre stands for the old centre next to it; k x k model parameters
-        match = [min(range(k), key=lambda j: sum((a - b) ** 2 for a, b in zip(c, old[j]))) for c in new]
-        to_old = F.array(*[F.lit(m) for m in match])
-        row = base.transform(df.filter(F.col(key) == anchor)).withColumn("_x", vector_to_array("features"))
-        parts.append(row.select(key, F.col("prediction").alias("original"), F.element_at(to_old, nearest(F.col("_x"), new) + 1).alias("refitted")))
-    return reduce(DataFrame.unionByName, parts).withColumn("stable", F.col("original") == F.col("refitted"))
+    """Refit without each anchor; does its nearest new centre match its old cluster?
+
+    A fit without a row is a fit in which it weighs nothing, so all fits run side by side over the same rows.
+    """
+    weights = F.array(F.lit(1), *[F.when(F.col(key) == a, 0).otherwise(1) for a in anchors])
+    rows = fits.points(df, key, weights, [key])
+    models = fits.best(rows, fits.runs([k], n_init, 1 + len(anchors)), seed)
+    base = models[k, 0]
+    # each new centre stands for the old centre next to it; k x k model parameters
+    match = [[int(((base - c) ** 2).sum(1).argmin()) for c in models[k, i + 1]] for i in range(len(anchors))]
+    listed = fits.labels(rows.filter(F.col(key).isin(anchors)), [base, *(models[k, i + 1] for i in range(len(anchors)))], [key])
+    at = F.array_position(F.array(*[F.lit(a) for a in anchors]), F.col(key)).cast("int")
+    refitted = F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in match])[at - 1][F.col("labels")[at]]
+    return listed.select(key, F.col("labels")[0].alias("original"), refitted.alias("refitted")).withColumn("stable", F.col("original") == F.col("refitted"))
 
 
 def principal_components(df: DataFrame, keys: list[str], n: int = 2) -> tuple[DataFrame, list[float]]:
-    model = PCA(k=n, inputCol="features", outputCol="_pc").fit(df)
-    scores = model.transform(df).withColumn("_a", vector_to_array("_pc"))
-    return scores.select(*keys, *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(n)]), model.explainedVariance.tolist()
+    """Scores of the centred rows on the ``n`` main axes of the covariance, and the shares of variance.
+
+    One aggregate gives means and the upper triangle of the covariance; its axes are found on the driver (dimensions squared
+    numbers). The largest loading of an axis is positive, the first of equal ones. A table without spread gives shares of 0.
+    """
+    rows = df.withColumn("_x", vector_to_array("features"))
+    dims = rows.agg(F.max(F.size("_x"))).first()[0] or 0
+    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
+    x = F.col("_x")
+    found = rows.agg(*[F.avg(x[i]) for i in range(dims)], *[F.covar_samp(x[i], x[j]) for i, j in pairs]).first() if dims else []
+    mean, spread = [v or 0.0 for v in found[:dims]], np.zeros((dims, dims))
+    for (i, j), v in zip(pairs, found[dims:], strict=True):
+        spread[i, j] = spread[j, i] = v or 0.0
+    values, axes = np.linalg.eigh(spread)
+    values, axes = values[::-1][:n], axes[:, ::-1][:, :n].T
+    axes = [a * (-1 if a[np.abs(np.round(a, 9)).argmax()] < 0 else 1) for a in axes]
+    score = lambda a: reduce(lambda s, t: s + t, [(x[i] - m) * float(a[i]) for i, m in enumerate(mean)])
+    shares = [float(v) / float(np.trace(spread)) if np.trace(spread) > 0 else 0.0 for v in values]
+    return rows.select(*keys, *[score(a).alias(f"pc{i + 1}") for i, a in enumerate(axes)]), shares
 
 
 # ---- fit statistics (C8, C9, C11, C26) -----------------------------------------------
@@ -285,17 +291,25 @@ def cluster_quality(rows: DataFrame, label: str = "cluster") -> tuple[DataFrame,
     return overall, per.select("cluster", "silhouette", "n_rows")
 
 
-def sweep_k(df: DataFrame, k_values=range(2, 10), n_init: int = 20, seed: int = 42, mixture: bool = True) -> DataFrame:
-    """Fit statistics per k, with the agreement of a mixture fit."""
-    parts = []
-    for k in k_values:
-        rows = best_kmeans(df, k, n_init, seed).transform(df).withColumnRenamed("prediction", "cluster")
-        stats, _ = cluster_quality(rows)
-        ari = adjusted_rand(fit_mixture(rows, k, seed, n_init), "cluster", "gmm") if mixture else F.lit(None).cast("double")
-        parts.append(stats.select(
-            F.lit(k).alias("k"), F.round("silhouette", 3).alias("silhouette"), F.round("calinski_harabasz", 1).alias("calinski_harabasz"),
-            F.round("davies_bouldin", 3).alias("davies_bouldin"), F.round(ari, 3).alias("gmm_ari"), F.round("inertia", 1).alias("inertia")))
-    return reduce(DataFrame.unionByName, parts)
+def sweep_k(df: DataFrame, k_values=range(2, 10), n_init: int = 20, seed: int = 42, mixture: bool = True, key: str | None = None) -> DataFrame:
+    """Fit statistics per k, with the agreement of a mixture fit. The fits of all k and starts run side by side."""
+    rows = fits.points(df, key)
+    ks = list(k_values)
+    models = fits.best(rows, fits.runs(ks, n_init), seed)
+    quality = fits.qualities(rows, [models[k, 0] for k in ks])
+    found = df.sparkSession.createDataFrame(
+        [(k, q["silhouette"], q["calinski_harabasz"], q["davies_bouldin"], q["inertia"]) for k, q in zip(ks, quality, strict=True)],
+        "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double")
+    ari = F.lit(None).cast("double")
+    if mixture:
+        grown = fits.best_mixtures(rows, ks, n_init, seed)
+        both = cut_lineage(fits.labels(rows, [models[k, 0] for k in ks], ["x"]).select("labels", *[
+            F.array_position(p, F.array_max(p)).alias(f"g{k}") for k in ks for p in [fits.shares(F.col("x"), grown[k])]]))
+        each = df.sparkSession.range(1).select(*[
+            adjusted_rand(both.select(F.col("labels")[i].alias("a"), f"g{k}"), "a", f"g{k}").alias(f"a{k}") for i, k in enumerate(ks)]).first()
+        ari = F.create_map(*[F.lit(v) for i, k in enumerate(ks) for v in (k, each[i])])[F.col("k")]
+    return found.select("k", F.round("silhouette", 3).alias("silhouette"), F.round("calinski_harabasz", 1).alias("calinski_harabasz"),
+                        F.round("davies_bouldin", 3).alias("davies_bouldin"), F.round(ari, 3).alias("gmm_ari"), F.round("inertia", 1).alias("inertia"))
 
 
 def decision_matrix(sweep: DataFrame) -> DataFrame:
@@ -310,26 +324,14 @@ def decision_matrix(sweep: DataFrame) -> DataFrame:
     return ranked.withColumn("avg_rank", F.round((F.col("rank_sil") + F.col("rank_ch") + F.col("rank_db") + F.col("rank_ari")) / 4.0, 2))
 
 
-def bootstrap_weight(key: Column, resample: int, seed: int) -> Column:
-    """Poisson(1) multiplicity from a hash of the row key: each row draws its own count."""
-    u = (F.xxhash64(key, F.lit(seed), F.lit(resample)).bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
-    # the cumulative distribution up to the last step that a number of 40 bits can tell from 1
-    below, mass, steps = 0.0, exp(-1.0), []
-    while 1 - below > 2.0**-41 and len(steps) < 20:
-        below += mass
-        steps.append(below)
-        mass /= len(steps)
-    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u)).cast("double")
-
-
 def bootstrap_labels(df: DataFrame, key: str, n_bootstrap: int = 100, k: int = 6, seed: int = 42, n_init: int = 10) -> DataFrame:
-    """Long table (resample, key, cluster, weight): one weighted fit per resample."""
-    parts = []
-    for b in range(n_bootstrap):
-        drawn = df.withColumn("weight", bootstrap_weight(F.col(key), b, seed)).filter(F.col("weight") > 0)
-        model = best_kmeans(drawn, k, n_init, seed + b, "weight")
-        parts.append(model.transform(drawn).select(F.lit(b).alias("resample"), key, F.col("prediction").alias("cluster"), "weight"))
-    return cut_lineage(reduce(DataFrame.unionByName, parts))
+    """Long table (resample, key, cluster, weight): a weighted fit per resample, all side by side."""
+    rows = fits.points(df, key, fits.drawn(F.col("h"), n_bootstrap, seed), [key])
+    models = fits.best(rows, fits.runs([k], n_init, n_bootstrap), seed)
+    drawn = sorted(b for _, b in models)  # a resample of a very small table can be empty
+    listed = fits.labels(rows, [models[k, b] for b in drawn], [key])
+    long = listed.select(key, "w", F.posexplode("labels").alias("_i", "cluster")).withColumn("resample", F.array(*[F.lit(b) for b in drawn])[F.col("_i")])
+    return cut_lineage(long.select("resample", key, "cluster", F.col("w")[F.col("resample")].cast("double").alias("weight")).filter(F.col("weight") > 0))
 
 
 def bootstrap_stability(labels: DataFrame, key: str, threshold: float = 0.70) -> DataFrame:
@@ -347,12 +349,14 @@ def bootstrap_stability(labels: DataFrame, key: str, threshold: float = 0.70) ->
 
 
 def bootstrap_pairs(labels: DataFrame, key: str, anchors: DataFrame) -> DataFrame:
-    """Co-occurrence rate of a short list of anchors with every other row, and its mean per anchor's partner."""
+    """Co-occurrence rate of a short list of anchors with every other row, and the anchor's mean over its partners."""
     a = labels.join(anchors.select(key).distinct(), key, "left_semi").select(
         "resample", F.col(key).alias("anchor"), F.col("cluster").alias("_ca"), F.col("weight").alias("_wa"))
     w = F.col("weight") * F.col("_wa")
-    return labels.join(a, "resample").filter(F.col(key) != F.col("anchor")).groupBy("anchor", F.col(key).alias("partner")).agg(
+    rates = labels.join(a, "resample").filter(F.col(key) != F.col("anchor")).groupBy("anchor", F.col(key).alias("partner")).agg(
         (F.sum(F.when(F.col("cluster") == F.col("_ca"), w).otherwise(0.0)) / F.sum(w)).alias("rate"))
+    rates = cut_lineage(rates)
+    return join_statistics(rates, rates.groupBy("anchor").agg(F.avg("rate").alias("mean_rate")), ["anchor"])
 
 
 # ---- descriptions of groups (C25, C28, C35, C36) -------------------------------------

@@ -278,6 +278,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ", ".join(f"{n} AS ({VIEWS[n][0].strip()})" for n in needed)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"
