@@ -99,12 +99,16 @@ def test_chain_uses_best_shot(spark):
 
 def test_packing_drops_pass_with_all_opponents_outside(spark):
     end = {"pass_end_location_x": 80.0, "pass_end_location_y": 60.0}
-    ev = events(spark, [dict(end, id="in"), dict(end, id="out"), dict(end, id="none"), dict(end, id="lost", pass_outcome="Out")])
+    ev = events(spark, [dict(end, id="in"), dict(end, id="out"), dict(end, id="none"), dict(end, id="lost", pass_outcome="Out"),
+                        dict(end, id="in", match_id=2), dict(end, id="far", match_id=2)])
     fr = spark.createDataFrame([
-        ("in", False, False, False, 60.0, 50.0), ("in", False, False, False, 60.0, 50.0), ("in", True, False, False, 61.0, 50.0), ("in", False, False, True, 62.0, 50.0),
-        ("out", False, False, False, 10.0, 10.0)], "event_uuid string, teammate boolean, actor boolean, keeper boolean, location_x double, location_y double")
-    got = rows(packing.packing(ev, fr, min_passes=1), "total_passes", "total_opponents_packed", "avg_packing_per_pass", "progressive_passes")
-    assert got == [(2, 1, 0.5, 2)]
+        (1, "in", False, False, False, 60.0, 50.0), (1, "in", False, False, False, 60.0, 50.0), (1, "in", True, False, False, 61.0, 50.0),
+        (1, "in", False, False, True, 62.0, 50.0), (1, "out", False, False, False, 10.0, 10.0),
+        # the same event name in another match has its own opponents
+        (2, "in", False, False, False, 60.0, 50.0), (2, "in", False, False, False, 61.0, 50.0), (2, "far", False, False, False, 10.0, 10.0)],
+        "match_id int, event_uuid string, teammate boolean, actor boolean, keeper boolean, location_x double, location_y double")
+    got = rows(packing.packing(ev, fr, min_passes=1), "match_id", "total_passes", "total_opponents_packed", "avg_packing_per_pass", "progressive_passes")
+    assert got == [(1, 2, 1, 0.5, 2), (2, 1, 2, 2.0, 1)]
 
 
 def test_network_degrees(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import clip, scalar_stats
-from touchline.functions.lineage import cut_lineage, join_statistics
+from touchline.functions.lineage import join_groups
 from touchline.functions.ranks import (
     average_rank, quantile_scalars, rank_columns, repivot, scaled_rank, unpivot, value_positions,
 )
@@ -14,15 +14,15 @@ from touchline.functions.ranks import (
 LOG_FLOOR = 1e-6
 
 
-def rank_norm(df: DataFrame, keys: list[str], groups: list[str], columns: dict[str, str], **options) -> DataFrame:
+def rank_norm(df: DataFrame, keys: list[str], groups: list[str], columns: dict[str, str]) -> DataFrame:
     """Average rank scaled to 0..1 per group; ``columns`` maps input to output column."""
-    return rank_columns(df, keys, groups, columns, scaled_rank(), **options)
+    return rank_columns(df, keys, groups, columns, scaled_rank())
 
 
-def percentile_99(df: DataFrame, keys: list[str], columns: list[str], **options) -> DataFrame:
+def percentile_99(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Average rank over the count of present values, times 99."""
     score = average_rank() / F.col("total") * 99.0
-    ranked = rank_columns(df, keys, [], {c: f"{c}_percentile" for c in columns}, score, **options)
+    ranked = rank_columns(df, keys, [], {c: f"{c}_percentile" for c in columns}, score)
     return df.join(ranked, keys, "left")
 
 
@@ -33,7 +33,7 @@ def zscore(df: DataFrame, groups: list[str], columns: dict[str, str]) -> DataFra
     per group, so a large group is never gathered.
     """
     aggs = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]
-    df = join_statistics(df, df.groupBy(*groups).agg(*aggs), groups) if groups else _attach(df, aggs)
+    df = join_groups(df, df.groupBy(*groups).agg(*aggs), groups) if groups else _attach(df, aggs)
     for c, out in columns.items():
         s = F.col(f"_s_{c}")
         df = df.withColumn(out, F.when(F.col(c).isNull(), F.lit(None)).when(
@@ -54,7 +54,7 @@ def min_max(
     """Min-max scaling to 0..high; a constant column becomes ``constant``."""
     groups = list(groups)
     aggs = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
-    df = join_statistics(df, df.groupBy(*groups).agg(*aggs), groups) if groups else _attach(df, aggs)
+    df = join_groups(df, df.groupBy(*groups).agg(*aggs), groups) if groups else _attach(df, aggs)
     for c, out in columns.items():
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         num = (hi - F.col(c)) if c in lower_is_better else (F.col(c) - lo)
@@ -74,11 +74,11 @@ def z_radar(df: DataFrame, group: str, columns: list[str], inverted: tuple[str,
     return unpivot(means, [group], columns)
 
 
-def cap_outliers(df: DataFrame, upper: dict[str, float], lower: dict[str, float] | None = None, **options) -> DataFrame:
+def cap_outliers(df: DataFrame, upper: dict[str, float], lower: dict[str, float] | None = None) -> DataFrame:
     """Clip columns at exact quantiles of the whole table."""
     lower = lower or {}
     wanted = {f"hi_{c}": (c, q) for c, q in upper.items()} | {f"lo_{c}": (c, q) for c, q in lower.items()}
-    cut = quantile_scalars(df, wanted, **options)
+    cut = quantile_scalars(df, wanted)
     for c in upper:
         df = df.withColumn(c, F.least(F.when(F.col(c).isNotNull(), cut[f"hi_{c}"]), F.col(c)))
     for c in lower:
@@ -87,7 +87,7 @@ def cap_outliers(df: DataFrame, upper: dict[str, float], lower: dict[str, float]
 
 
 def normalise_columns(
-    df: DataFrame, keys: list[str], groups: list[str], methods: dict[str, tuple[str, str]], **options
+    df: DataFrame, keys: list[str], groups: list[str], methods: dict[str, tuple[str, str]]
 ) -> DataFrame:
     """Per-group normalisation of many columns: ``methods`` maps output to (column, method).
 
@@ -101,24 +101,26 @@ def normalise_columns(
         long = unpivot(wide, list(dict.fromkeys(keys + groups)), list(ranked))
         by = groups + ["metric"]
         means = long.groupBy(*by).agg(F.avg("value").alias("mean"))
-        filled = join_statistics(long, means, by).withColumn("filled", F.coalesce("value", "mean"))
+        filled = join_groups(long, means, by).withColumn("filled", F.coalesce("value", "mean"))
         # log and log1p keep the order, so only values under the log floor change: they tie
         logged = [o for o, (_, m) in ranked.items() if m == "log"]
         filled = filled.withColumn("filled", F.when(
             F.col("metric").isin(logged) & (F.col("filled") < LOG_FLOOR), F.lit(LOG_FLOOR)).otherwise(F.col("filled")))
-        filled = cut_lineage(filled.drop("mean"))
-        positions = value_positions(filled, by, "filled", **options)
+        filled = filled.drop("mean")
+        positions = value_positions(filled, by, "filled")
         scored = filled.join(positions, by + ["filled"], "left").withColumn(
             "score", F.when(F.col("value").isNotNull(), scaled_rank())
         )
         out = out.join(repivot(scored, keys, {o: o for o in ranked}, value="score"), keys, "left")
     zs = {o: c for o, (c, m) in methods.items() if m == "zscore"}
-    for o, c in zs.items():
+    if zs:
         # a NULL filled with the mean adds no deviation, only a row: n changes, the mean does not
-        stats = df.groupBy(*groups).agg(
-            F.avg(c).alias("_m"), F.var_pop(c).alias("_v"), F.count(c).alias("_k"), F.count("*").alias("_n"))
-        sd = F.sqrt(F.col("_v") * F.col("_k") / F.nullif((F.col("_n") - 1).cast("double"), F.lit(0.0)))
-        out = join_statistics(out, stats, groups).withColumn(o, F.when(F.col(c).isNotNull(), F.when(
-            sd.isNull() | (sd == 0), F.lit(0.0)).otherwise((F.col(c) - F.col("_m")) / F.nullif(sd, F.lit(0.0)))
-        )).drop("_m", "_v", "_k", "_n")
+        stats = df.groupBy(*groups).agg(F.count("*").alias("_n"), *[
+            f(c).alias(f"_{n}_{o}") for o, c in zs.items() for n, f in (("m", F.avg), ("v", F.var_pop), ("k", F.count))])
+        out = join_groups(out, stats, groups)
+        for o, c in zs.items():
+            sd = F.sqrt(F.col(f"_v_{o}") * F.col(f"_k_{o}") / F.nullif((F.col("_n") - 1).cast("double"), F.lit(0.0)))
+            out = out.withColumn(o, F.when(F.col(c).isNotNull(), F.when(sd.isNull() | (sd == 0), F.lit(0.0)).otherwise(
+                (F.col(c) - F.col(f"_m_{o}")) / F.nullif(sd, F.lit(0.0)))))
+        out = out.drop("_n", *[f"_{n}_{o}" for o in zs for n in "mvk"])
     return out

@@ -93,10 +93,10 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def cap_and_scale(teams: DataFrame, upper: dict[str, float] | None = None, columns: list[str] = CLUSTER_FEATURES, **options) -> DataFrame:
+def cap_and_scale(teams: DataFrame, upper: dict[str, float] | None = None, columns: list[str] = CLUSTER_FEATURES) -> DataFrame:
     """Cap, then standardise, then build the vector; the order keeps outliers out of the deviation."""
     upper = {"ppda": 0.95, "epr": 0.95} if upper is None else upper
-    capped = cap_outliers(teams, upper, **options)
+    capped = cap_outliers(teams, upper)
     return cut_lineage(assemble(standardise(capped, columns), [f"{c}_z" for c in columns]))
 
 

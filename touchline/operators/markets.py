@@ -211,10 +211,10 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return out.withColumn("_t", t).withColumn("p_value", t_two_sided(F.col("_t"), dof)).drop("_t")
 
 
-def spearman(df: DataFrame, key: str, x: str, y: str, **options) -> DataFrame:
+def spearman(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Correlation of the average ranks."""
     kept = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
-    ranks = rank_columns(kept, [key], [], {x: "_rx", y: "_ry"}, average_rank(), **options)
+    ranks = rank_columns(kept, [key], [], {x: "_rx", y: "_ry"}, average_rank())
     return pearson(ranks, "_rx", "_ry")
 
 
@@ -252,10 +252,10 @@ def t_test(df: DataFrame, value: str, group: Column) -> DataFrame:
     return out.withColumn("p_value", t_two_sided(F.col("t_statistic"), na + nb - 2)).drop("var_a", "var_b")
 
 
-def median_split_test(df: DataFrame, value: str, split: str, **options) -> DataFrame:
+def median_split_test(df: DataFrame, value: str, split: str) -> DataFrame:
     """t-test of the rows under the median of ``split`` against the rest."""
     df = cut_lineage(df)
-    median = quantile_scalars(df, {"m": (split, 0.5)}, **options)["m"]
+    median = quantile_scalars(df, {"m": (split, 0.5)})["m"]
     return t_test(df.withColumn("_low", F.col(split) < median), value, F.col("_low"))
 
 

@@ -19,13 +19,13 @@ def top_rows(df: DataFrame, columns: list[str], by: str, n: int = 10, tie: str |
     return df.select(*columns).orderBy(F.desc_nulls_last(by), *([tie] if tie else [])).limit(n)
 
 
-def describe(df: DataFrame, columns: list[str], **options) -> DataFrame:
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, NULLs, mean, deviation, extremes and exact quartiles per column."""
     long = unpivot(df, [], columns)
     stats = long.groupBy("metric").agg(
         F.count("value").alias("count"), (F.count("*") - F.count("value")).alias("null_count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(long, ["metric"], "value", [0.25, 0.5, 0.75], **options).groupBy("metric").agg(
+    q = exact_quantiles(long, ["metric"], "value", [0.25, 0.5, 0.75], few_groups=True).groupBy("metric").agg(
         *[F.max(F.when(F.col("q") == v, F.col("value"))).alias(n) for v, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     return stats.join(q, "metric", "left")
 
@@ -70,7 +70,7 @@ def match_profile(matches: DataFrame) -> DataFrame:
     })
 
 
-def match_totals(matches: DataFrame, **options) -> DataFrame:
+def match_totals(matches: DataFrame) -> DataFrame:
     goals = F.col("home_score") + F.col("away_score")
     return matches.agg(
         F.count("*").alias("matches"), F.min("match_date").alias("first_date"), F.max("match_date").alias("last_date"),
@@ -176,7 +176,7 @@ def event_profile(events: DataFrame) -> DataFrame:
     })
 
 
-def event_totals(events: DataFrame, **options) -> DataFrame:
+def event_totals(events: DataFrame) -> DataFrame:
     """Volumes, coverage, shot quality and pass completion as one row."""
     shot, done, xg = F.col("type") == "Shot", F.col("type") == "Pass", F.col("shot_statsbomb_xg")
     return events.agg(

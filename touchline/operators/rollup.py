@@ -253,18 +253,18 @@ def net_advantage(df: DataFrame, pairs: DataFrame, weights: dict[str, float] = A
         "row_team", "col_team", F.when(F.col("row_team") != F.col("col_team"), F.round(F.col("_a") - F.col("_b"), 2)).alias("net_advantage"))
 
 
-def quadrant(df: DataFrame, x: str, y: str, labels: tuple[str, str, str, str], name: str = "Tag", **options) -> DataFrame:
+def quadrant(df: DataFrame, x: str, y: str, labels: tuple[str, str, str, str], name: str = "Tag") -> DataFrame:
     """Label by the exact medians of x and y: (high x, high y), (low x, high y), (high x, low y), low both."""
-    cut = quantile_scalars(df, {"x": (x, 0.5), "y": (y, 0.5)}, **options)
+    cut = quantile_scalars(df, {"x": (x, 0.5), "y": (y, 0.5)})
     hi_x, hi_y = F.col(x) >= cut["x"], F.col(y) >= cut["y"]
     return df.withColumn(name, ladder(labels[3], (hi_x & hi_y, labels[0]), (~hi_x & hi_y, labels[1]), (hi_x & ~hi_y, labels[2])))
 
 
-def signal_disagreement(df: DataFrame, key: str, signals: dict[str, str], top: int = 15, **options) -> DataFrame:
+def signal_disagreement(df: DataFrame, key: str, signals: dict[str, str], top: int = 15) -> DataFrame:
     """Descending average ranks per signal, their sample deviation and the best against the worst signal."""
     names = list(signals)
     down = F.col("total") - average_rank() + 1
-    ranks = rank_columns(df, [key], [], {c: f"_r{i}" for i, c in enumerate(signals.values())}, down, **options)
+    ranks = rank_columns(df, [key], [], {c: f"_r{i}" for i, c in enumerate(signals.values())}, down)
     cols = [F.col(f"_r{i}") for i in range(len(names))]
     mean = row_mean(cols)
     n = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cols])

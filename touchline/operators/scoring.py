@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import ladder, row_mean, weighted_mean_present
-from touchline.functions.lineage import cut_lineage, join_statistics
+from touchline.functions.lineage import cut_lineage, join_groups
 from touchline.functions.ranks import rank_columns, value_positions
 from touchline.operators.season import METRICS, Metric
 
@@ -106,7 +106,7 @@ def apply_shrinkage(
     group = [k for k in ("season_name", "position_archetype") if k in df.columns]
     # One row per (season, group): aggregated, then joined back.
     means = df.filter(~F.col("shrinkage_flag")).groupBy(*group).agg(*[F.avg(c).alias(f"_mu_{c}") for c in columns])
-    df = join_statistics(df, means, group)
+    df = join_groups(df, means, group)
     if sample and sample in df.columns:
         m = F.col(sample)
         lam = F.when(m >= threshold, 0.0).when(m <= floor, 1.0).otherwise(1.0 - (m - floor) / float(threshold - floor))
@@ -173,10 +173,10 @@ def dense_percentile() -> Column:
     return F.when(F.col("total") <= 1, 50.0).otherwise(F.col("dense") / F.col("levels") * 100.0)
 
 
-def group_percentiles(df: DataFrame, keys: list[str], group: str, columns: dict[str, str], **options) -> DataFrame:
+def group_percentiles(df: DataFrame, keys: list[str], group: str, columns: dict[str, str]) -> DataFrame:
     """Dense percentile of each column inside its group."""
     present = df.filter(F.col(group).isNotNull())
-    return df.join(rank_columns(present, keys, [group], columns, dense_percentile(), **options).drop(group), keys, "left")
+    return df.join(rank_columns(present, keys, [group], columns, dense_percentile()).drop(group), keys, "left")
 
 
 def category_score(columns: list[str]) -> Column:
@@ -232,13 +232,13 @@ def coverage_confidence(tier: Column) -> Column:
 
 def build_scores(
     tables: dict[str, DataFrame], rosters: DataFrame, club_tiers: DataFrame, positions: DataFrame | None = None,
-    metrics: list[Metric] = METRICS, min_categories: int = 3, **options,
+    metrics: list[Metric] = METRICS, min_categories: int = 3,
 ) -> DataFrame:
     """Unified table to ranked composite scores. ``rank`` counts all players, ties share it."""
     players = with_club_and_age(decay_collapse(unified_table(tables), positions), rosters, club_tiers)
     players = cut_lineage(players)  # read by the percentile ranking and by the score
     norms = {f"{m.key}_norm": f"{m.key}_pct" for m in metrics if f"{m.key}_norm" in players.columns}
-    players = group_percentiles(players, ["player"], "position_archetype", norms, **options)
+    players = group_percentiles(players, ["player"], "position_archetype", norms)
     scores = {}
     for category in CATEGORIES:
         pcts = [f"{m.key}_pct" for m in metrics if m.category == category and f"{m.key}_norm" in norms]
@@ -250,20 +250,20 @@ def build_scores(
         .withColumn("composite_score", composite(F.col("position_archetype"), scores)
                     * F.col("club_weight") * F.col("age_multiplier") * F.col("confidence"))
     )
-    players = rank_descending(players, "composite_score", **options)
+    players = rank_descending(players, "composite_score")
     present = reduce(lambda a, b: a + b, [s.isNotNull().cast("int") for s in scores.values()])
     return players.filter(present >= min_categories)
 
 
-def rank_descending(df: DataFrame, column: str, name: str = "rank", **options) -> DataFrame:
+def rank_descending(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """Competition rank from the highest value down; NULL values have no rank."""
     df = cut_lineage(df)
-    positions = value_positions(df, [], column, **options)
+    positions = value_positions(df, [], column)
     ranks = positions.select(column, (F.col("total") - F.col("below") - F.col("n") + 1).alias(name))
     return df.join(ranks, column, "left")
 
 
-def blend_external_list(scored: DataFrame, ranked: DataFrame, **options) -> DataFrame:
+def blend_external_list(scored: DataFrame, ranked: DataFrame) -> DataFrame:
     """Blend with an external ranked list (player, team, rank): the weight depends on the rank tier.
 
     Players outside the list are capped at 70; players only in the list are appended.

@@ -64,9 +64,9 @@ def temporal_stability(labels: DataFrame, key: str = "team", period: str = "peri
     return out.filter(F.col("seen") == periods).select(key, ratio(F.col("modal"), F.col("labels")).alias("stability_rate"))
 
 
-def binary_auc(rows: DataFrame, score: str, truth: str, **options) -> Column:
+def binary_auc(rows: DataFrame, score: str, truth: str) -> Column:
     """Area under the curve by the rank sum of the positives, ties at half."""
-    positions = value_positions(rows, [], score, **options)
+    positions = value_positions(rows, [], score)
     positives = rows.filter(F.col(truth) == 1).groupBy(score).agg(F.count("*").alias("pos"))
     joined = positions.join(positives, score, "left")
     p = F.coalesce(F.col("pos"), F.lit(0))
@@ -75,12 +75,12 @@ def binary_auc(rows: DataFrame, score: str, truth: str, **options) -> Column:
     return joined.agg(area.alias("auc")).scalar()
 
 
-def baseline_comparison(rows: DataFrame, score: str, truth: str, cutoff: float, **options) -> DataFrame:
+def baseline_comparison(rows: DataFrame, score: str, truth: str, cutoff: float) -> DataFrame:
     """Accuracy and AUC of the majority class and of a score with a cut-off."""
     y = F.col(truth)
     stats = rows.agg(
         F.avg(y.cast("double")).alias("base"), F.avg(((F.col(score) >= cutoff).cast("int") == y).cast("double")).alias("acc"))
-    auc = F.coalesce(binary_auc(rows, score, truth, **options), F.lit(0.5))
+    auc = F.coalesce(binary_auc(rows, score, truth), F.lit(0.5))
     row = lambda name, acc, a: F.struct(F.lit(name).alias("model"), F.round(acc, 3).alias("accuracy"), F.round(a, 3).alias("auc"))
     return stats.select(F.explode(F.array(
         row("Majority class baseline", F.greatest("base", 1.0 - F.col("base")), F.lit(0.5)),
@@ -99,11 +99,11 @@ def mean_absolute_error(rows: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.avg("abs_error"), 3).alias("mae"), F.count("abs_error").alias("teams"))
 
 
-def archetype_predictor(rows: DataFrame, cutoff: float = PREDICTED_FROM, **options) -> DataFrame:
+def archetype_predictor(rows: DataFrame, cutoff: float = PREDICTED_FROM) -> DataFrame:
     """How well the score of a style alone tells who reaches the quarter-final, beside the majority class."""
     score = F.coalesce(_map(F.col("archetype"), ARCHETYPE_SCORES).cast("double"), F.lit(float(UNKNOWN_STYLE)))
     scored = rows.filter(F.col("outcome_rank").isNotNull()).select(score.alias("score"), (F.col("outcome_rank") >= QUARTER_FINAL).cast("int").alias("reached"))
-    return baseline_comparison(scored, "score", "reached", cutoff, **options)
+    return baseline_comparison(scored, "score", "reached", cutoff)
 
 
 def biggest_surprises(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
@@ -198,7 +198,7 @@ def matchups(matches: DataFrame, groups: DataFrame, competitions: list[str] | No
 # ---- final style score (C19, C20) ----------------------------------------------------
 
 
-def final_scores(rows: DataFrame, names: list[str], presence: DataFrame, key: str = "team", cap: bool = True, **options) -> DataFrame:
+def final_scores(rows: DataFrame, names: list[str], presence: DataFrame, key: str = "team", cap: bool = True) -> DataFrame:
     """Blend of the two likeliest styles, weighted by evidence and adjusted by in-style quality.
 
     ``rows`` needs cluster, proba (aligned to the cluster numbers), n_matches, npxg and epr;
@@ -223,7 +223,7 @@ def final_scores(rows: DataFrame, names: list[str], presence: DataFrame, key: st
         "wc_presence_weight", F.coalesce(F.round(0.80 + 0.20 * (F.col("_rank") / 7.0), 4), F.lit(ABSENT_WEIGHT)))
     df = df.withColumn("_q", F.col("npxg") * 0.7 + F.lit(1.0) / F.nullif(F.least(F.col("epr"), F.lit(261.47)), F.lit(0.0)) * 30.0)
     df = cut_lineage(df.drop("_second", "_c2"))
-    pct_rank = rank_columns(df, [key], ["archetype"], {"_q": "_pr"}, average_rank() / F.col("total"), **options)
+    pct_rank = rank_columns(df, [key], ["archetype"], {"_q": "_pr"}, average_rank() / F.col("total"))
     df = df.join(pct_rank, key, "left")
     base = F.least(F.greatest(F.col("blend_score") * F.col("sample_weight") * F.col("wc_presence_weight"), F.lit(0.0)), F.lit(100.0))
     df = df.withColumn("quality_adjustment", F.round((F.col("_pr") - 0.5) * 8.0 * F.col("sample_weight"), 1))
@@ -256,10 +256,10 @@ def volatility(metrics: DataFrame, min_matches: int = 3) -> DataFrame:
     return out.filter((F.col("n") >= min_matches) & F.col("ppda_std").isNotNull() & F.col("poss_std").isNotNull())
 
 
-def outcome_by_quadrant(metrics: DataFrame, results: DataFrame, **options) -> DataFrame:
+def outcome_by_quadrant(metrics: DataFrame, results: DataFrame) -> DataFrame:
     """Win, draw and loss rates by the median split of pressing and possession."""
     long = unpivot(metrics, [], ["ppda", "possession_pct"])
-    med = exact_quantiles(long, ["metric"], "value", [0.5], **options).agg(F.struct(
+    med = exact_quantiles(long, ["metric"], "value", [0.5], few_groups=True).agg(F.struct(
         F.max(F.when(F.col("metric") == "ppda", F.col("value"))).alias("p"),
         F.max(F.when(F.col("metric") == "possession_pct", F.col("value"))).alias("q")).alias("s")).scalar()
     low, high = F.col("ppda") <= med.getField("p"), F.col("possession_pct") >= med.getField("q")
