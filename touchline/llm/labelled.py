@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)), F.lit(0))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, max_chars: int) -> list[tuple[bytes, int]]:
-    """Texts and 0/1 labels of up to ``rows`` labelled documents of each class, in a seeded order.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, max_chars: int) -> DataFrame | None:
+    """``doc_id``, ``text``, ``label`` of up to ``rows`` labelled documents of each class, chosen in a seeded order; None without labels.
 
     Only ids with ``learn`` are looked at; texts above ``max_chars`` are left out of the sample (they are scored
     like all others). An id with several labels counts as 1 if any is 1. The ids are at most ``2 * rows``.
@@ -27,13 +29,35 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     order = F.xxhash64(F.lit(label), F.col("doc_id"))
     ids = [r for y in (0, 1) for r in known.filter(F.col("label") == y).orderBy(order, "doc_id").limit(rows).collect()]
     if not ids:
-        return []
+        return None
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(r["doc_id"], r["label"]) for r in ids], "_id long, label int")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.length("text") <= max_chars).join(
-        F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label").collect()
-    return [(r["text"].encode(), r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.length("text") <= max_chars).join(
+        F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+
+
+def in_order(rows: list) -> list[tuple[bytes, int]]:
+    """Texts and labels of sampled rows, by id and text."""
+    return [(r["text"].encode(), r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, max_chars: int) -> list[tuple[bytes, int]]:
+    """The rows of :func:`sampled`, texts in bytes."""
+    found = sampled(docs, labels, label, learn, rows, max_chars)
+    return in_order(found.collect()) if found is not None else []
+
+
+def fit_in_a_task(rows: DataFrame | None, train: Callable[[list[tuple[bytes, int]]], object]) -> object:
+    """``train`` of sampled rows, run where the memory for texts is; the driver gets the model alone."""
+    if rows is None:
+        return train([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for batch in batches for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(train(in_order(found)))], pa.binary())], ["model"])
+
+    return cloudpickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
