@@ -97,6 +97,33 @@ def test_chain_uses_best_shot(spark):
     assert got == [("m", 0.5, 2, 1, 100.0, None), ("s", 0.5, 2, 1, 100.0, None)]
 
 
+def _leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_chain_reads_the_events_once(spark):
+    ev = events(spark, [{"player": "m"}, {"type": "Shot", "player": "s", "shot_statsbomb_xg": 0.2}])
+    lineups = spark.createDataFrame([(1, "A", "m", "00:00", None)], "match_id int, team_name string, player_name string, from_time string, to_time string")
+    assert _leaves(xg.xg_chain(ev)) == 1 and _leaves(xg.xg_chain(ev, lineups=lineups)) == 2 and _leaves(xg.xg_buildup(ev)) <= 3
+
+
+def test_chain_of_rows_without_names(spark):
+    # shots without a possession or a player count for the team and credit nobody
+    ev = events(spark, [{"player": "m"}, {"type": "Shot", "player": None, "shot_statsbomb_xg": 0.2}, {"type": "Shot", "player": "s", "possession": None, "shot_statsbomb_xg": 0.3},
+                        {"type": "Shot", "player": "s", "possession": 2, "shot_statsbomb_xg": None}, {"player": "s", "possession": None}])
+    assert rows(xg.xg_chain(ev), "player", "xg_chain", "team_involvement_pct", "total_touches_in_chains") == [("m", 0.2, 40.0, 1)]
+
+
+def test_chain_minutes_are_those_of_the_lineups(spark):
+    ev = events(spark, [{"player": "m"}, {"type": "Shot", "player": "s", "shot_statsbomb_xg": 0.2}, {"player": "x", "minute": 93, "second": 30, "possession": 9}])
+    lineups = spark.createDataFrame([
+        (1, "A", "m", "00:00", "45:00"), (1, "A", "m", "60:00", None), (1, "A", "s", None, None), (2, "A", "s", "00:00", None), (1, "A", "x", "00:00", None)],
+        "match_id int, team_name string, player_name string, from_time string, to_time string")
+    from touchline.operators.minutes import minutes_played
+    want = dict(rows(minutes_played(lineups, ev), "player", "minutes_played"))
+    assert rows(xg.xg_chain(ev, lineups=lineups), "player", "minutes_played") == [("m", want["m"]), ("s", 0)] and want["m"] == 78
+
+
 def test_packing_drops_pass_with_all_opponents_outside(spark):
     end = {"pass_end_location_x": 80.0, "pass_end_location_y": 60.0}
     ev = events(spark, [dict(end, id="in"), dict(end, id="out"), dict(end, id="none"), dict(end, id="lost", pass_outcome="Out"),

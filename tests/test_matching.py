@@ -72,6 +72,22 @@ def test_fuzzy_filter_loses_nothing(spark, threshold):
     assert got == want
 
 
+def test_candidates_of_a_common_piece_stay_few(spark):
+    """All names end alike; a query meets those it can match, not all that share the common piece."""
+    rng = random.Random(5)
+    endings = ["".join(rng.choice("abcdefghijklmnopqrstuvwxy") for _ in range(13)) + "zzz" for _ in range(400)]
+    endings[41] = endings[40][:3] + "q" + endings[40][4:]
+    n = matching._normed(spark.createDataFrame([(x,) for x in endings], "name string"), "name")
+    q = matching._normed(spark.createDataFrame([(x,) for x in endings[::40]], "query string"), "query")
+    pairs = {(r["query"], r["name"]) for r in matching.edit_candidates(q, n, 80).collect()}
+    norm = lambda x: " ".join(sorted(set(x.split())))
+    similar = {(a, b) for a in endings[::40] for b in endings if int(100 * (1 - _lev(norm(a), norm(b)) / max(len(norm(a)), len(norm(b)))) + 0.5) >= 80}
+    assert (endings[40], endings[41]) in similar and similar <= pairs and len(pairs) < 0.2 * 10 * 400
+    clubs = matching._normed(spark.createDataFrame([(f"club{i} united",) for i in range(20)], "name string"), "name")
+    ranked = dict(rows(matching._by_rarity(clubs, "name", "t", matching._word_counts(clubs.select("t"))), "name", "rare"))
+    assert len(ranked) == 20 and all(r[-1] == "united" for r in ranked.values())
+
+
 def test_best_match_priorities(spark):
     names = spark.createDataFrame([("Luis Gerardo Chávez Magallón", 60.0), ("Luis Chávez", 50.0), ("Pelé", 99.0), ("Ana Maria Lopez Diaz", 10.0)], "name string, overall_quality double")
     q = spark.createDataFrame([("luis chavez",), ("Gerardo Magallon",), ("O Rei Pelé",), ("Ana Lopez Silva",), ("nobody",)], "query string")

@@ -33,6 +33,29 @@ def test_unified_outer_join_fans_out_for_two_teams(spark):
     assert len(got) == 5 and ("q", "2023/2024", None, 0.9) in got
 
 
+def test_unified_table_is_one_exchange_and_can_fold_repeated_keys(spark):
+    meta = "player string, season_name string, team string, decay_weight double"
+    a = spark.createDataFrame([("p", "2022", "Y", None, 0.1), ("p", "2022", "X", 1.0, 0.3), (None, "2022", "N", 1.0, 0.5), ("r", "2024", "R", 1.0, None)], f"{meta}, a_norm double")
+    b = spark.createDataFrame([("p", "2021/2022", "Z", 0.8, 0.5), (None, "2022", "N", 1.0, 0.7), ("q", "2024", "Q", 0.6, 0.9)], f"{meta}, b_norm double")
+    c = spark.createDataFrame([("p", "2021/2022", "Z", 0.7, 1.0), ("p", "2021/2022", "W", 0.7, 2.0)], f"{meta}, c_norm double")
+    wide = scoring.unified_table({"a": a, "b": b, "c": c})
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    joined = a.select("player", F.lit("2021/2022").alias("season_name"), "team", "a_norm").filter("player = 'p'").join(b.select("player", "season_name", "b_norm"), ["player", "season_name"], "full").join(
+        c.select("player", "season_name", "c_norm"), ["player", "season_name"], "full").filter("player = 'p'")
+    cols = ["player", "season_name", "team", "a_norm", "b_norm", "c_norm"]
+    assert rows(wide.filter("player = 'p'"), *cols) == rows(joined, *cols) and wide.filter("player = 'p'").count() == 4
+    assert rows(wide.filter("player IS NULL"), "team", "a_norm", "b_norm") == [("N", 0.5, None), ("N", None, 0.7)]
+    folded = scoring.unified_table({"a": a, "b": b, "c": c}, fan_out=False)
+    assert rows(folded.filter("player = 'p'"), "team", "decay_weight", "a_norm", "b_norm", "c_norm") == [("X", 1.0, 0.2, 0.5, 1.5)]
+
+
+def test_blend_ranks_anew(spark):
+    scored = spark.createDataFrame([("a", "t", 80.0, 1), ("b", "t", 75.0, 2), ("c", "t", 72.0, 3), ("d", "t", None, None)], "player string, team string, composite_score double, rank int")
+    listed = spark.createDataFrame([("c", "t", 1), ("e", "u", 12)], "player string, team string, rank int")
+    got = rows(scoring.blend_external_list(scored, listed), "player", "final_score", "rank")
+    assert got == [("a", 70.0, 2), ("b", 70.0, 2), ("c", 0.6 * 72 + 0.4 * 90, 1), ("d", None, None), ("e", 40 - 10 / 89, 4)]
+
+
 def test_shrinkage_endpoints(spark):
     df = spark.createDataFrame([("a", "s", 400, False, 0.8), ("b", "s", 180, True, 0.0), ("c", "s", 225, True, 0.0), ("d", "t", 180, True, 0.0)],
                                "player string, season_name string, minutes_played int, shrinkage_flag boolean, v_norm double")

@@ -50,6 +50,42 @@ query("q3_markets_overview", lambda t: rounded(markets.market_overview(t.v_marke
 SELECT COUNT(*) AS "rows", COUNT(DISTINCT market_id) AS n_market_id, COUNT(DISTINCT event_slug) AS n_event_slug, ROUND(SUM(volume), 2) AS sum_volume,
   COUNT(*) FILTER (WHERE active) AS n_active, COUNT(*) FILTER (WHERE closed) AS n_closed FROM v_markets""")
 
+
+
+def _market_tables(t):
+    trades = t.v_trades.groupBy("market_id").agg(F.count("*").alias("trade_count"), F.min("timestamp").alias("first_trade"), F.max("timestamp").alias("last_trade"))
+    return {
+        "markets": t.v_markets.withColumn("category", F.concat(F.lit("c"), F.col("user_id") % 4)), "tokens": t.v_tokens, "trades": t.v_trades, "odds": t.v_odds,
+        "events": markets.event_lifetime(t.v_markets), "summary": trades.withColumn("active", F.col("trade_count") % 2 == 0)}
+
+
+def _report_sql(kind, source):
+    plan, parts = markets.REPORTS[kind], [("overview", "rows", "COUNT(*)")]
+    parts += [("overview", f"distinct {c}", f"COUNT(DISTINCT {c})") for c in plan.get("distinct", [])] + [("overview", f"total {c}", f"SUM({c})") for c in plan.get("sums", [])]
+    parts += [("overview", c, f"COUNT(*) FILTER (WHERE {c})") for c in plan.get("flags", [])]
+    parts += [("overview", f"{n} {c}", f"FLOOR(EPOCH({f}({c})))") for c in plan.get("times", []) for n, f in (("first", "MIN"), ("last", "MAX"))]
+    for c in plan.get("stats", []):
+        parts += [(f"distribution of {c}", i, v) for i, v in (
+            ("count", f"COUNT({c})"), ("null_count", f"COUNT(*) - COUNT({c})"), ("mean", f"AVG({c})"), ("std", f"STDDEV_SAMP({c})"), ("min", f"MIN({c})"),
+            ("q25", f"QUANTILE_CONT({c}, 0.25)"), ("q50", f"QUANTILE_CONT({c}, 0.5)"), ("q75", f"QUANTILE_CONT({c}, 0.75)"), ("max", f"MAX({c})"))]
+    rows = [f"SELECT '{s}' AS section, '{i}' AS item, ROUND(({v})::DOUBLE, 4) AS value FROM src" for s, i, v in parts]
+    rows += [f"SELECT '{c}', {c}, COUNT(*)::DOUBLE FROM src GROUP BY {c}" for c in plan.get("counts", [])]
+    return f"WITH src AS ({source}) " + " UNION ALL ".join(rows)
+
+
+for _kind, _source in {
+    "markets": "SELECT *, 'c' || user_id % 4 AS category FROM v_markets", "tokens": "SELECT * FROM v_tokens", "trades": "SELECT * FROM v_trades", "odds": "SELECT * FROM v_odds",
+    "events": "SELECT event_slug, COUNT(*) AS market_count, SUM(volume) AS total_volume FROM v_markets GROUP BY event_slug",
+    "summary": "SELECT *, trade_count % 2 = 0 AS active FROM (SELECT market_id, COUNT(*) AS trade_count, MIN(timestamp) AS first_trade, MAX(timestamp) AS last_trade FROM v_trades GROUP BY market_id) z",
+}.items():
+    query(f"q3_{_kind}_report", lambda t, kind=_kind: rounded(markets.table_report(_market_tables(t)[kind], kind)), _report_sql(_kind, _source))
+
+query("q3_top_summary", lambda t: markets.top_markets(_market_tables(t)["summary"], "trade_count").select("market_id", "trade_count"), """
+SELECT market_id, COUNT(*) AS trade_count FROM v_trades GROUP BY market_id ORDER BY trade_count DESC, market_id LIMIT 15""")
+query("q3_top_events", lambda t: rounded(_market_tables(t)["events"].orderBy(F.desc_nulls_last("total_volume"), "event_slug").limit(15).select(
+    "event_slug", "market_count", "total_volume")), """
+SELECT event_slug, COUNT(*) AS market_count, ROUND(SUM(volume), 4) AS total_volume FROM v_markets GROUP BY event_slug ORDER BY SUM(volume) DESC, event_slug LIMIT 15""")
+
 MAIN = "mt AS (SELECT market_id, ARG_MIN(token_id, (NOT (LOWER(outcome) LIKE '%yes%'), token_id)) AS token_id FROM v_tokens GROUP BY market_id)"
 query("q4_final_market_odds", lambda t: markets.final_market_odds(t.v_odds, t.v_tokens).drop("last_seen"), f"""
 WITH {MAIN} SELECT market_id, token_id, ARG_MAX(price, (timestamp, price)) AS final_odds FROM v_odds JOIN mt USING (market_id, token_id) GROUP BY market_id, token_id""")

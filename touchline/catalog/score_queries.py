@@ -324,12 +324,14 @@ query("s13_blend_external_list", lambda t: rounded(scoring.blend_external_list(
 WITH g AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'C' ELSE 'X' END || c_custkey AS player, (c_custkey // 3 % 100)::INT + 1 AS r FROM customer
    WHERE c_custkey % 3 = 0),
  h AS (SELECT player, r, CASE WHEN r <= 10 THEN 90 - (r - 1) * (7 / 9e0) WHEN r <= 30 THEN 82 - (r - 11) * (10 / 19e0) ELSE 71 - (r - 31) * (16 / 69e0) END AS s,
-   CASE WHEN r <= 10 THEN 0.4e0 WHEN r <= 30 THEN 0.25e0 ELSE 0.15e0 END AS w FROM g)
-SELECT v.player, club AS team, 'A' AS coverage_tier, ROUND(final_score, 4) AS composite_score,
-  ROUND(CASE WHEN final_score IS NULL THEN NULL WHEN r IS NOT NULL THEN (1 - w) * final_score + w * s ELSE LEAST(final_score, 70) END, 4) AS final_score
-FROM v_rosters v LEFT JOIN h USING (player)
-UNION ALL SELECT player, 'club', 'D', NULL, ROUND(CASE WHEN r <= 10 THEN 65 - (r - 1) * (5 / 9e0) ELSE 40 - (r - 11) * (10 / 89e0) END, 4)
-FROM h WHERE player NOT IN (SELECT player FROM v_rosters)""")
+   CASE WHEN r <= 10 THEN 0.4e0 WHEN r <= 30 THEN 0.25e0 ELSE 0.15e0 END AS w FROM g),
+ fs AS (SELECT v.player, club AS team, 'A' AS coverage_tier, final_score AS composite_score,
+   CASE WHEN final_score IS NULL THEN NULL WHEN r IS NOT NULL THEN (1 - w) * final_score + w * s ELSE LEAST(final_score, 70) END AS final_score
+  FROM v_rosters v LEFT JOIN h USING (player)
+  UNION ALL SELECT player, 'club', 'D', NULL, CASE WHEN r <= 10 THEN 65 - (r - 1) * (5 / 9e0) ELSE 40 - (r - 11) * (10 / 89e0) END
+  FROM h WHERE player NOT IN (SELECT player FROM v_rosters))
+SELECT player, team, coverage_tier, ROUND(composite_score, 4) AS composite_score, ROUND(final_score, 4) AS final_score,
+  CASE WHEN final_score IS NOT NULL THEN RANK() OVER (ORDER BY final_score DESC NULLS LAST) END AS rank FROM fs""")
 
 query("s14_trait_scores", lambda t: rounded(scoring.trait_scores(t.v_player_season.select(*KEYS, "m_control", "m_defence", "m_progression"), {
     "Control": ["m_control"], "Progression": ["m_progression", "m_control", "m_defence"]}).select(*KEYS, "Control", "Progression")), """

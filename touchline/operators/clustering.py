@@ -35,8 +35,14 @@ def carry_share() -> Column:
 
 
 def merge_metrics(tables: list[DataFrame]) -> DataFrame:
-    """Left joins of the metric tables on (match, team), with the share of carries."""
-    merged = reduce(lambda a, b: a.join(b, SIDE, "left"), tables)
+    """The sides (match, team) of the first table with the metrics of all, and the share of carries.
+
+    The tables are stacked and folded by one aggregate; each has a row for a side at most.
+    """
+    parts = [tables[0].withColumn("_first", F.lit(1)), *(t.dropna(subset=SIDE) for t in tables[1:])]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    metrics = [c for c in stacked.columns if c not in (*SIDE, "_first")]
+    merged = stacked.groupBy(*SIDE).agg(*[F.max(c).alias(c) for c in metrics], F.max("_first").alias("_first")).filter("_first = 1").drop("_first")
     return merged.withColumn("progressive_carry_pct", carry_share())
 
 

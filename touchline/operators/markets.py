@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from touchline.functions.columns import ladder, ratio, sum_flag
 from touchline.functions.lineage import cut_lineage
 from touchline.functions.ranks import average_rank, quantile_scalars, rank_columns
 from touchline.functions.tests_of_difference import t_two_sided
+from touchline.operators.profiling import describe
 
 
 # ---- integrity and volume (Q1-Q3) ----------------------------------------------------
@@ -26,28 +29,51 @@ def token_count_mismatch(summary: DataFrame, tokens: DataFrame) -> DataFrame:
     ).select("market_id", "token_count", "actual_token_count")
 
 
+CHECKS = [
+    "tokens reference missing markets", "markets missing tokens", "trades reference missing markets", "trades reference missing tokens",
+    "trades have valid pairs", "odds reference missing markets", "odds reference missing tokens", "odds have valid pairs",
+    "summary references missing markets", "markets missing summary rows", "events not found in markets", "summary token count matches"]
+
+
 def integrity_report(markets, tokens, trades, odds, summary, event_stats) -> DataFrame:
-    """One row per check with the number of bad rows or pairs."""
+    """One row per check with the number of bad rows or pairs.
+
+    Every table is read once and reduced to its keys with their counts. The keys of all tables meet in one aggregate
+    with a count of each table, and all checks are sums over it. A NULL in a key belongs to no other table.
+    """
+    names = ["markets", "tokens", "trades", "odds", "summary", "events"]
+    text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
+
+    def keyed(table: DataFrame, name: str, keys: list[str], kinds: list[tuple[str, str | None, str | None]], listed=None) -> DataFrame:
+        counts = table.groupBy(*keys).agg(F.count("*").alias("n"))
+        key = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), text(a).alias("a"), text(b).alias("b")) for k, a, b in kinds]))
+        stated = F.struct(F.col(listed).cast("long").alias("count"), F.col("n")) if listed else F.lit(None).cast("struct<count:long,n:long>")
+        return counts.select(key.alias("k"), stated.alias("stated"), *[(F.col("n") if m == name else F.lit(0).cast("long")).alias(m) for m in names]).select("k.*", "stated", *names)
+
+    by_pair = [("market", "market_id", None), ("token", None, "token_id"), ("pair", "market_id", "token_id")]
     pair = ["market_id", "token_id"]
-    pairs_of = lambda df: df.select(*pair).distinct()
-    checks = {
-        "tokens reference missing markets": orphans(tokens, markets, ["market_id"]),
-        "markets missing tokens": orphans(markets, tokens, ["market_id"]),
-        "trades reference missing markets": orphans(trades, markets, ["market_id"]),
-        "trades reference missing tokens": orphans(trades, tokens, ["token_id"]),
-        "trades have valid pairs": orphans(pairs_of(trades), tokens, pair),
-        "odds reference missing markets": orphans(odds, markets, ["market_id"]),
-        "odds reference missing tokens": orphans(odds, tokens, ["token_id"]),
-        "odds have valid pairs": orphans(pairs_of(odds), tokens, pair),
-        "summary references missing markets": orphans(summary, markets, ["market_id"]),
-        "markets missing summary rows": orphans(markets, summary, ["market_id"]),
-        "events not found in markets": orphans(event_stats, markets, ["event_slug"]),
-        "summary token count matches": token_count_mismatch(summary, tokens),
-    }
-    parts = [df.agg(F.lit(name).alias("check"), F.count("*").alias("bad")) for name, df in checks.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    parts = [
+        keyed(markets, "markets", ["market_id", "event_slug"], [("market", "market_id", None), ("slug", "event_slug", None)]),
+        keyed(tokens, "tokens", pair, by_pair), keyed(trades, "trades", pair, by_pair), keyed(odds, "odds", pair, by_pair),
+        keyed(summary, "summary", ["market_id", "token_count"], [("market", "market_id", None)], "token_count"),
+        keyed(event_stats, "events", ["event_slug"], [("slug", "event_slug", None)])]
+    # the summary rows of a market state a handful of counts at most
+    met = reduce(DataFrame.unionByName, parts).groupBy("kind", "a", "b").agg(*[F.sum(n).alias(n) for n in names], F.collect_list("stated").alias("stated"))
+    known = {"market": F.col("a").isNotNull(), "token": F.col("b").isNotNull(), "pair": F.col("a").isNotNull() & F.col("b").isNotNull(), "slug": F.col("a").isNotNull()}
+
+    def lost(kind: str, table: str, other: str, amount: Column | None = None) -> Column:
+        """Rows of ``table`` with a key that ``other`` has no row for."""
+        return F.sum(F.when((F.col("kind") == kind) & ~(known[kind] & (F.col(other) > 0)), F.col(table) if amount is None else amount))
+
+    some = lambda table: (F.col(table) > 0).cast("long")
+    actual = F.when(known["market"] & (F.col("tokens") > 0), F.col("tokens"))
+    differs = F.aggregate("stated", F.lit(0).cast("long"), lambda s, x: s + F.when(actual.isNull() | (x["count"] != actual), x["n"]).otherwise(0))
+    sums = [lost("market", "tokens", "markets"), lost("market", "markets", "tokens"), lost("market", "trades", "markets"), lost("token", "trades", "tokens"),
+            lost("pair", "trades", "tokens", some("trades")), lost("market", "odds", "markets"), lost("token", "odds", "tokens"),
+            lost("pair", "odds", "tokens", some("odds")), lost("market", "summary", "markets"), lost("market", "markets", "summary"),
+            lost("slug", "events", "markets"), F.sum(F.when(F.col("kind") == "market", differs))]
+    found = met.agg(*[F.coalesce(s, F.lit(0).cast("long")).alias(f"c{i}") for i, s in enumerate(sums)])
+    out = found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(f"c{i}").alias("bad")) for i, n in enumerate(CHECKS)])).alias("r")).select("r.*")
     return out.withColumn("status", F.when(F.col("bad") == 0, "OK").otherwise("FAIL"))
 
 
@@ -83,6 +109,42 @@ def market_overview(df: DataFrame, distinct: list[str], sums: list[str], flags:
         *[sum_flag(F.col(c)).alias(f"n_{c}") for c in flags], *[f(c).alias(f"{n}_{c}") for c in times for n, f in (("first", F.min), ("last", F.max))])
 
 
+# What a report of each market table holds: distinct keys, totals, flags, time columns, value counts and distributions.
+REPORTS = {
+    "markets": {"distinct": ["market_id"], "sums": ["volume"], "flags": ["active", "closed"], "counts": ["category"]},
+    "tokens": {"distinct": ["market_id", "token_id"], "counts": ["outcome"]},
+    "trades": {"distinct": ["market_id"], "sums": ["size"], "times": ["timestamp"], "counts": ["side"], "stats": ["size", "price"]},
+    "odds": {"distinct": ["market_id", "token_id"], "stats": ["price"]},
+    "events": {"sums": ["market_count", "total_volume"]},
+    "summary": {"sums": ["trade_count"], "flags": ["active"], "times": ["first_trade", "last_trade"]},
+}
+
+
+def table_report(df: DataFrame, kind: str) -> DataFrame:
+    """Report of a market table in long form: (section, item, value).
+
+    Sections are the overview (rows, distinct keys, totals, flags, first and last second of the time columns), a section of counts for
+    each of the table's category columns, and a section for each distribution. Columns that ``df`` lacks are passed over.
+    """
+    has = {k: [c for c in v if c in df.columns] for k, v in REPORTS[kind].items()}
+    row = lambda s, i, v: F.struct(F.lit(s).alias("section"), F.lit(i).alias("item"), v.cast("double").alias("value"))
+    cells = {"rows": F.count("*")}
+    cells |= {f"distinct {c}": F.count_distinct(c) for c in has.get("distinct", [])} | {f"total {c}": F.sum(c) for c in has.get("sums", [])}
+    cells |= {c: sum_flag(F.col(c)) for c in has.get("flags", [])}
+    cells |= {f"{n} {c}": epoch_seconds(f(c)) for c in has.get("times", []) for n, f in (("first", F.min), ("last", F.max))}
+    out = df.agg(*[v.alias(f"c{i}") for i, v in enumerate(cells.values())]).select(
+        F.explode(F.array(*[row("overview", n, F.col(f"c{i}")) for i, n in enumerate(cells)])).alias("r")).select("r.*")
+    if has.get("counts"):
+        named = F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).cast("string").alias("item")) for c in has["counts"]])
+        out = out.unionByName(df.select(F.explode(named).alias("r")).groupBy("r.section", "r.item").agg(F.count("*").cast("double").alias("value")))
+    if has.get("stats"):
+        items = ["count", "null_count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+        out = out.unionByName(describe(df, has["stats"]).select(F.explode(F.array(*[
+            F.struct(F.concat(F.lit("distribution of "), F.col("metric")).alias("section"), F.lit(i).alias("item"), F.col(i).cast("double").alias("value"))
+            for i in items])).alias("r")).select("r.*"))
+    return out
+
+
 # ---- prices (Q4-Q6, Q23) -------------------------------------------------------------
 
 

@@ -2,8 +2,8 @@
 
 No operator here tests every name against every text. A name can only match a text that
 holds one chosen word of the name, so both sides meet in an equi-join on that word and
-only those candidates are verified. The choice of word is a sufficient condition, so no
-match is lost.
+only those candidates are verified. Names meet names at their rarest words or pieces by count. The choice is a
+sufficient condition, so no match is lost.
 """
 
 from __future__ import annotations
@@ -150,21 +150,42 @@ def _tokens(name: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(fold_name(name), " "), lambda w: w != "")))
 
 
+def _by_rarity(df: DataFrame, key: str, tokens: str, counts: DataFrame) -> DataFrame:
+    """``key`` and ``rare``: its words from the one with the fewest rows in ``counts`` (w, n) to the commonest, then by spelling.
+
+    A word without a count is the rarest. Names have a handful of words, so the folded lists are short.
+    """
+    spread = df.select(key, F.explode(tokens).alias("w")).join(counts, "w", "left")
+    return spread.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("_r")).select(
+        key, F.transform("_r", lambda r: r["w"]).alias("rare"))
+
+
+def _word_counts(*sides: DataFrame) -> DataFrame:
+    """Rows that hold each word, over the token columns of all sides together."""
+    all_words = sides[0]
+    for s in sides[1:]:
+        all_words = all_words.unionByName(s)
+    return all_words.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
 def best_name_match(queries: DataFrame, names: DataFrame, score: str = "overall_quality", overlap: float = 0.6) -> DataFrame:
     """Best name per query: equal, query inside name, name inside query, or enough shared words.
 
     Earlier rules win; within a rule the highest score, then the spelling. A pair sharing the
-    needed number of words shares at least one of the n - need + 1 longest words of the query,
-    so only those words are joined.
+    needed number of words shares at least one of any n - need + 1 words of the query: the rarest
+    by count are taken, so that a common word joins only where nothing rarer is left. The other way round
+    a name that lies in the query as a whole meets it at its rarest word.
     """
     q = queries.select("query").distinct().withColumn("qt", _tokens(F.col("query"))).filter(F.size("qt") > 0)
     n = names.select("name", F.col(score).alias("score")).withColumn("nt", _tokens(F.col("name"))).filter(F.size("nt") > 0)
-    by_length = F.transform(F.reverse(F.array_sort(F.transform("qt", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))), lambda s: s["w"])
+    one = n.select("name", "nt").distinct()
+    counts = _word_counts(q.select(F.col("qt").alias("t")), one.select(F.col("nt").alias("t")))
     need = F.ceil(F.size("qt") * F.lit(overlap))
-    probe = q.select("query", "qt", F.explode(F.slice(by_length, F.lit(1), (F.size("qt") - need + 1).cast("int"))).alias("w"))
+    probe = q.join(_by_rarity(q, "query", "qt", counts), "query").select(
+        "query", "qt", F.explode(F.slice("rare", F.lit(1), (F.size("qt") - need + 1).cast("int"))).alias("w"))
     forward = probe.join(n.select("name", "score", "nt", F.explode("nt").alias("w")), "w").drop("w")
-    # the other way round: all words of the name are in the query, so its longest word is
-    backward = q.select("query", "qt", F.explode("qt").alias("w")).join(n.select("name", "score", "nt", longest(F.col("nt")).alias("w")), "w").drop("w")
+    rarest = n.join(_by_rarity(one, "name", "nt", counts), "name").select("name", "score", "nt", F.col("rare")[0].alias("w"))
+    backward = q.select("query", "qt", F.explode("qt").alias("w")).join(rarest, "w").drop("w")
     inside = F.size(F.array_except("qt", "nt")) == 0
     around = F.size(F.array_except("nt", "qt")) == 0
     shared = F.size(F.array_intersect("qt", "nt")) / F.size("qt")
@@ -179,41 +200,59 @@ def similarity(a: Column, b: Column) -> Column:
     return F.round(100.0 * (1.0 - F.levenshtein(a, b) / F.nullif(F.greatest(F.length(a), F.length(b)).cast("double"), F.lit(0.0))), 0)
 
 
-def fuzzy_name_match(queries: DataFrame, names: DataFrame, threshold: float = 80) -> DataFrame:
-    """Best name per query with a score of at least ``threshold``.
+def _normed(df: DataFrame, column: str) -> DataFrame:
+    return df.select(column).distinct().withColumn("t", _tokens(F.col(column))).withColumn("s", F.array_join("t", " ")).filter(F.length("s") > 0)
 
-    The score is the edit similarity of the sorted words, or 90 when all words of one name
-    (two or more) are in the other. Candidates for the edit rule come from an exact filter: a
-    name cut into one more piece than the edits allowed leaves a piece untouched, so the query
-    holds that piece near its place.
+
+def edit_candidates(q: DataFrame, n: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (query, name) that alone can reach the edit score, from normed sides.
+
+    A name that allows ``e`` edits is cut into ``e + 2`` pieces (``e + 1`` where it is too short), so two of them are left
+    untouched by an allowed edit and one of these is not the name's commonest piece by count. The commonest is left out; the
+    others are looked up in the query near their place.
     """
     slack = 1.0 - (threshold - 0.5) / 100.0  # the score is rounded
-    norm = lambda df, c: df.select(F.col(c).alias(c)).distinct().withColumn("t", _tokens(F.col(c))).withColumn("s", F.array_join("t", " ")).filter(F.length("s") > 0)
-    q, n = norm(queries, "query"), norm(names, "name")
     edits = lambda length: F.floor(length * F.lit(slack / (1.0 - slack)) + F.lit(1e-9)).cast("int")
+    spare = lambda length: (length >= edits(length) + 2).cast("int")
     ln = F.length("s")
-    pieces = edits(ln) + 1
+    pieces = edits(ln) + 1 + spare(ln)
     cut = lambda i: F.floor(ln * i / pieces).cast("int")
-    name_pieces = n.select("name", F.col("t").alias("nt"), F.col("s").alias("ns"), ln.alias("len"), F.explode(F.transform(
-        F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(i.alias("i"), F.substr("s", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))).alias("p"))
-    name_pieces = name_pieces.select("name", "nt", "ns", "len", "p.i", "p.piece")
+    found = n.select("name", ln.alias("len"), F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(
+        i.alias("i"), F.substr("s", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))).alias("p")).select("name", "len", "p.i", "p.piece")
+    counts = found.groupBy("len", "i", "piece").agg(F.count("*").alias("n"))
+    listed = found.join(counts, ["len", "i", "piece"]).groupBy("name", "len").agg(F.array_sort(F.collect_list(F.struct("n", "i", "piece"))).alias("p"))
+    name_pieces = listed.select("name", "len", F.explode(F.slice("p", F.lit(1), F.size("p") - spare(F.col("len")))).alias("p")).select("name", "len", "p.i", "p.piece")
     lens = F.sequence(F.greatest(F.ceil(ln * (1.0 - slack) - 1e-9), F.lit(1)).cast("int"), F.floor(ln / (1.0 - slack) + 1e-9).cast("int"))
-    probe = q.select("query", F.col("t").alias("qt"), F.col("s").alias("qs"), F.explode(lens).alias("len"))
-    k = edits(F.col("len")) + 1
+    probe = q.select("query", "s", F.explode(lens).alias("len"))
+    allowed = edits(F.col("len"))
+    k = allowed + 1 + spare(F.col("len"))
     at = lambda i: F.floor(F.col("len") * i / k).cast("int")
     probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), k - 1)))
     start, size = at(F.col("i")), at(F.col("i") + 1) - at(F.col("i"))
-    lo, hi = F.greatest(start - (k - 1), F.lit(0)), F.least(start + (k - 1), F.length("qs") - size)
-    probe = probe.filter(hi >= lo).select("query", "qt", "qs", "len", "i", F.explode(F.array_distinct(F.transform(
-        F.sequence(lo, hi), lambda p: F.substr(F.col("qs"), p + 1, size)))).alias("piece"))
-    edit_pairs = probe.join(name_pieces, ["len", "i", "piece"]).select("query", "qt", "qs", "name", "nt", "ns")
+    lo, hi = F.greatest(start - allowed, F.lit(0)), F.least(start + allowed, F.length("s") - size)
+    probe = probe.filter(hi >= lo).select("query", "len", "i", F.explode(F.array_distinct(F.transform(
+        F.sequence(lo, hi), lambda p: F.substr(F.col("s"), p + 1, size)))).alias("piece"))
+    return probe.join(name_pieces, ["len", "i", "piece"]).select("query", "name").distinct()
+
+
+def fuzzy_name_match(queries: DataFrame, names: DataFrame, threshold: float = 80) -> DataFrame:
+    """Best name per query with a score of at least ``threshold``.
+
+    The score is the edit similarity of the sorted words, or 90 when all words of one name
+    (two or more) are in the other. :func:`edit_candidates` finds the pairs for the edit rule; for the other the side
+    that lies in the other as a whole meets it at its rarest word.
+    """
+    q, n = _normed(queries, "query"), _normed(names, "name")
+    counts = _word_counts(q.select("t"), n.select("t"))
     two = lambda c: F.size(c) >= 2
-    q2 = q.select("query", F.col("t").alias("qt"), F.col("s").alias("qs"))
-    n2 = n.select("name", F.col("t").alias("nt"), F.col("s").alias("ns"))
-    q_in_n = q2.filter(two("qt")).withColumn("w", longest(F.col("qt"))).join(n2.withColumn("w", F.explode("nt")), "w").drop("w")
-    n_in_q = q2.withColumn("w", F.explode("qt")).join(n2.filter(two("nt")).withColumn("w", longest(F.col("nt"))), "w").drop("w")
+    rarest = lambda df, c: df.filter(two("t")).join(_by_rarity(df, c, "t", counts), c).select(c, F.col("rare")[0].alias("w"))
+    spread = lambda df, c: df.select(c, F.explode("t").alias("w"))
+    met = edit_candidates(q, n, threshold).unionByName(
+        rarest(q, "query").join(spread(n, "name"), "w").select("query", "name")).unionByName(
+        spread(q, "query").join(rarest(n, "name"), "w").select("query", "name")).distinct()
+    pairs = met.join(q.select("query", F.col("t").alias("qt"), F.col("s").alias("qs")), "query").join(
+        n.select("name", F.col("t").alias("nt"), F.col("s").alias("ns")), "name")
     cover = ((F.size(F.array_except("qt", "nt")) == 0) & two("qt")) | ((F.size(F.array_except("nt", "qt")) == 0) & two("nt"))
-    pairs = edit_pairs.unionByName(q_in_n).unionByName(n_in_q)
     score = F.greatest(similarity(F.col("qs"), F.col("ns")), F.when(cover, 90.0).otherwise(0.0))
     scored = pairs.withColumn("score", score).filter(F.col("score") >= threshold)
     best = F.min_by(F.struct("name", "score"), F.struct((-F.col("score")).alias("s"), "name"))

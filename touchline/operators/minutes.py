@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import clock_seconds, in_match
@@ -31,6 +31,21 @@ def minutes_played(lineups: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def lineup_clock(lineups: DataFrame) -> DataFrame:
+    """Per player of a match: seconds in closed line-up intervals, the number of open ones and the sum of their starts."""
+    begin, end = F.coalesce(clock_seconds(F.col("from_time")), F.lit(0.0)), clock_seconds(F.col("to_time"))
+    return lineups.filter(F.col("player_name").isNotNull() & F.col("from_time").isNotNull()).groupBy(
+        "match_id", F.col("team_name").alias("team"), F.col("player_name").alias("player")).agg(
+        F.coalesce(F.sum(end - begin), F.lit(0.0)).alias("closed"), F.count(F.when(end.isNull(), 1)).alias("open"),
+        F.coalesce(F.sum(F.when(end.isNull(), begin)), F.lit(0.0)).alias("open_from"))
+
+
+def clock_minutes(match_seconds: Column) -> Column:
+    """Minutes of a :func:`lineup_clock` row in a match of that length, as :func:`minutes_played` has them."""
+    still_on = F.coalesce(F.col("open") * match_seconds - F.col("open_from"), F.lit(0.0))
+    return F.bround(F.greatest(F.col("closed") + still_on, F.lit(0.0)) / 60.0).cast("int")
+
+
 def minutes_from_events(events: DataFrame, match_id=None, team=None) -> DataFrame:
     """Minutes from the starting line-up, substitutions and dismissals."""
     rows = in_match(events, match_id, team=team)

@@ -129,25 +129,34 @@ def apply_segmentation(df: DataFrame) -> DataFrame:
 META = ["team", "position_archetype", "archetype_label", "decay_weight", "shrinkage_flag", "competition_name"]
 
 
-def unified_table(tables: dict[str, DataFrame]) -> DataFrame:
-    """Outer join of all tables on (player, season); descriptive columns take the first present value."""
+def unified_table(tables: dict[str, DataFrame], fan_out: bool = True) -> DataFrame:
+    """All tables on (player, season), as outer joins give it; descriptive columns take the first present value in the order of the tables.
+
+    The tables are stacked and folded by one aggregate. A key that tables repeat (a player with two teams) gives every
+    combination of their rows; without ``fan_out`` it gives one row, with mean values and the descriptions of its first team by name.
+    """
+    keys = ["player", "season_name"]
     parts = []
     for df in tables.values():
         norms = [c for c in df.columns if c.endswith("_norm")]
         if norms:
             season = F.coalesce(lookup(F.col("season_name"), SEASON_ALIASES), F.col("season_name")).alias("season_name")
             parts.append(df.select("player", season, *[c for c in META if c in df.columns], *norms))
-
-    def outer(a: DataFrame, b: DataFrame) -> DataFrame:
-        shared = [c for c in META if c in a.columns and c in b.columns]
-        for c in shared:
-            b = b.withColumnRenamed(c, f"_r_{c}")
-        joined = a.join(b, ["player", "season_name"], "full")
-        for c in shared:
-            joined = joined.withColumn(c, F.coalesce(F.col(c), F.col(f"_r_{c}"))).drop(f"_r_{c}")
-        return joined
-
-    return reduce(outer, parts)
+    columns = list(dict.fromkeys(c for p in parts for c in p.columns if c not in keys))
+    meta = [c for c in META if c in columns]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
+    named = F.col("player").isNotNull() & F.col("season_name").isNotNull()
+    if not fan_out:
+        order = F.struct("_part", *[c for c in ("team",) if c in meta])
+        first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("v"))))["v"].alias(c)
+        return stacked.filter(named).groupBy(*keys).agg(*[first(c) for c in meta], *[F.avg(c).alias(c) for c in columns if c not in meta])
+    own = [[c for c in p.columns if c not in keys] for p in parts]
+    out = stacked.filter(named).groupBy(*keys).agg(*[F.collect_list(F.when(F.col("_part") == i, F.struct(*cs))).alias(f"_t{i}") for i, cs in enumerate(own)])
+    for i in range(len(parts)):
+        out = out.withColumn(f"_t{i}", F.explode_outer(f"_t{i}"))
+    value = lambda c: F.coalesce(*[F.col(f"_t{i}")[c] for i, cs in enumerate(own) if c in cs]).alias(c)
+    # a row without a player or a season meets no other
+    return out.select(*keys, *map(value, columns)).unionByName(stacked.filter(~named).select(*keys, *columns))
 
 
 def decay_collapse(unified: DataFrame, positions: DataFrame | None = None) -> DataFrame:
@@ -266,10 +275,13 @@ def rank_descending(df: DataFrame, column: str, name: str = "rank") -> DataFrame
 def blend_external_list(scored: DataFrame, ranked: DataFrame) -> DataFrame:
     """Blend with an external ranked list (player, team, rank): the weight depends on the rank tier.
 
-    Players outside the list are capped at 70; players only in the list are appended.
+    Players outside the list are capped at 70; players only in the list are appended. ``rank`` is made anew from the final
+    score over all of them; ties share it and players without a score have none.
     """
     r = F.col("list_rank")
+    scored = scored.drop("rank")
     listed = ranked.select("player", F.col("team").alias("list_team"), F.col("rank").alias("list_rank"))
+    # Scores and weights by place in the list.
     score = (
         F.when(r <= 10, 90.0 - (r - 1) * (7.0 / 9.0)).when(r <= 30, 82.0 - (r - 11) * (10.0 / 19.0))
         .otherwise(71.0 - (r - 31) * (16.0 / 69.0))
@@ -281,7 +293,7 @@ def blend_external_list(scored: DataFrame, ranked: DataFrame) -> DataFrame:
         value.isNull(), F.lit(None)).when(r.isNotNull(), (1.0 - weight) * value + weight * score).otherwise(F.least(value, F.lit(70.0))))
     extra = listed.join(scored.select("player"), "player", "left_anti").select(
         "player", F.col("list_team").alias("team"), F.lit("D").alias("coverage_tier"), only.alias("final_score"))
-    return both.drop("list_rank").unionByName(extra, allowMissingColumns=True)
+    return rank_descending(both.drop("list_rank").unionByName(extra, allowMissingColumns=True), "final_score")
 
 
 # ---- the older score ------------------------------------------------------------------

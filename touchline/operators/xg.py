@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import in_match, ladder, pct, ratio, scalar_stats, sum_flag, with_season
-from touchline.operators.minutes import minutes_played
+from touchline.operators.minutes import clock_minutes, lineup_clock
 
 SIDE = ["match_id", "team"]
 RUN = ["match_id", "possession", "team"]
@@ -63,85 +63,86 @@ def xg_by_player(events, matches=None, match_id=None, min_shots: int = 3) -> Dat
     )
 
 
+def possession_grain(events, match_id=None) -> DataFrame:
+    """One row per (match, possession, team, player) from one scan, with what the chain metrics need of it.
+
+    ``touches`` without and ``shot_touches`` of shots, ``tries`` (shot rows: one per key pass, or none), their ``worth``
+    and ``best``, ``shots``, ``goals``, and the last second of the match seen in the row. The ``run_`` columns are the
+    same over the whole possession. Rows without a player or a possession stay in, for totals of the team and of the match.
+    """
+    rows = in_match(events, match_id)
+    shot, valued = F.col("type") == "Shot", F.col(XG).isNotNull()
+    kind = F.when(shot & valued, "valued").when(shot, "shot").when(F.col("type").isin("Pass", "Carry", "Dribble"), "touch").otherwise("other")
+    of_kind = lambda *kinds: F.col("kind").isin(*kinds)
+    # a few rows for each player of a possession leave a task
+    small = rows.withColumn("kind", kind).withColumn("given", F.when(F.col("kind") == "valued", F.col("shot_key_pass_id"))).groupBy(
+        *RUN, "player", "kind", "given").agg(
+        F.count_distinct(F.when(F.col("kind") != "other", F.col("id"))).alias("ids"), F.count("*").alias("n"), F.max(XG).alias("xg"),
+        sum_flag(F.col("shot_outcome") == "Goal").alias("goals"), F.max(F.col("minute") * 60 + F.col("second")).alias("second"))
+    sums = lambda c, *kinds: F.sum(F.when(of_kind(*kinds), F.col(c)).otherwise(0))
+    grain = small.repartition(*RUN).groupBy(*RUN, "player").agg(
+        sums("ids", "touch").alias("touches"), sums("ids", "valued", "shot").alias("shot_touches"), sums("n", "valued").alias("shots"),
+        sums("goals", "valued").alias("goals"), sum_flag(of_kind("valued")).alias("tries"),
+        F.sum(F.when(of_kind("valued"), F.col("xg").cast("decimal(28,10)"))).alias("worth"),
+        F.max(F.when(of_kind("valued"), F.col("xg"))).alias("best"), F.max("second").alias("second"))
+    run = W.partitionBy(*RUN)
+    named = F.when(F.col("player").isNotNull(), F.col("tries"))
+    return grain.withColumns({
+        "run_xg": F.max("best").over(run), "run_shots": F.sum("shots").over(run), "run_goals": F.sum("goals").over(run),
+        "run_tries": F.sum("tries").over(run), "named_tries": F.coalesce(F.sum(named).over(run), F.lit(0)), "run_worth": F.sum("worth").over(run),
+        "lead": F.row_number().over(run.orderBy("player")) == 1,  # one row stands for the possession in totals
+        "placed": F.col("player").isNotNull() & F.col("possession").isNotNull() & F.col("team").isNotNull() & F.col("match_id").isNotNull()})
+
+
+def _per_player(grain: DataFrame, part: Column, lineups, *metrics: Column) -> DataFrame:
+    """``metrics`` per player of a match over the rows with ``part``, the team's ``side_xg``, and ``minutes_played``."""
+    worth = F.col("run_xg").cast("decimal(28,10)")
+    out = grain.groupBy(*PLAYER).agg(
+        sum_flag(part).alias("_rows"), F.sum(F.when(F.col("lead"), worth)).alias("_lead"), F.max("second").alias("_second"), *metrics)
+    out = out.withColumns({
+        "side_xg": F.sum("_lead").over(W.partitionBy(*SIDE)).cast("double"), "_length": F.max("_second").over(W.partitionBy("match_id"))})
+    out = out.filter(F.col("_rows") > 0).drop("_lead", "_second")
+    if lineups is None:
+        return out.withColumn("minutes_played", F.lit(0)).drop("_rows", "_length")
+    return out.join(lineup_clock(lineups), PLAYER, "left").withColumn(
+        "minutes_played", F.coalesce(clock_minutes(F.col("_length")), F.lit(0))).drop("_rows", "_length", "closed", "open", "open_from")
+
+
 def xg_chain(events, matches=None, lineups=None, match_id=None, min_touches: int = 1) -> DataFrame:
     """Possession xG credited to every player with a touch in the possession."""
-    runs = _shots(events, match_id).groupBy(*RUN).agg(
-        F.max(XG).alias("run_xg"), F.count("*").alias("run_shots"),
-        sum_flag(F.col("shot_outcome") == "Goal").alias("run_goals"),
-    )
-    touches = (
-        in_match(events, match_id)
-        .filter(F.col("player").isNotNull() & F.col("type").isin("Pass", "Carry", "Dribble", "Shot"))
-        .groupBy(*RUN, "player").agg(F.count_distinct("id").alias("touches"))
-    )
-    players = (
-        touches.join(runs, RUN).groupBy(*PLAYER)
-        .agg(
-            F.count("*").alias("possessions_with_shot"),
-            F.round(total(F.col("run_xg")), 3).alias("xg_chain"),
-            F.sum("run_shots").alias("shots_in_chain"),
-            F.sum("run_goals").alias("goals_in_chain"),
-            F.round(mean(F.col("run_xg")), 3).alias("avg_xg_per_possession"),
-            F.sum("touches").alias("total_touches_in_chains"),
-        )
-        .filter(F.col("total_touches_in_chains") >= min_touches)
-    )
-    team = runs.groupBy(*SIDE).agg(total(F.col("run_xg")).alias("team_total_xg"))
-    out = _with_minutes(players, lineups, events).join(team, SIDE, "left")
+    touches = F.col("touches") + F.col("shot_touches")
+    part = F.col("placed") & (F.col("run_shots") > 0) & (touches > 0)
+    mine = lambda c: F.when(part, c)
+    out = _per_player(
+        possession_grain(events, match_id), part, lineups,
+        sum_flag(part).alias("possessions_with_shot"), F.round(total(mine(F.col("run_xg"))), 3).alias("xg_chain"),
+        F.sum(mine(F.col("run_shots"))).alias("shots_in_chain"), F.sum(mine(F.col("run_goals"))).alias("goals_in_chain"),
+        F.round(mean(mine(F.col("run_xg"))), 3).alias("avg_xg_per_possession"), F.sum(mine(touches)).alias("total_touches_in_chains"))
+    out = out.filter(F.col("total_touches_in_chains") >= min_touches)
     out = out.withColumn("xg_chain_per90", ratio(F.col("xg_chain"), F.col("minutes_played"), 3, 90.0)).withColumn(
-        "team_involvement_pct", ratio(F.col("xg_chain"), F.col("team_total_xg"), 2, 100.0)
-    )
-    return with_season(out.drop("team_total_xg"), matches)
-
-
-def _with_minutes(df: DataFrame, lineups, events) -> DataFrame:
-    if lineups is None:
-        return df.withColumn("minutes_played", F.lit(0))
-    return df.join(minutes_played(lineups, events), PLAYER, "left").withColumn(
-        "minutes_played", F.coalesce("minutes_played", F.lit(0))
-    )
+        "team_involvement_pct", ratio(F.col("xg_chain"), F.col("side_xg"), 2, 100.0))
+    return with_season(out.drop("side_xg"), matches)
 
 
 def xg_buildup(events, matches=None, lineups=None, match_id=None, min_touches: int = 1) -> DataFrame:
     """xG of possessions where the player took part but neither shot nor assisted.
 
     A possession counts once per (shooter, key pass) row, and its touches once per
-    such row of another player. Both factors are computed as counts per possession,
-    so the fan-out is multiplied instead of materialised.
+    such row of another player. Both factors are counts of the possession,
+    so the fan-out is multiplied instead of materialised. Who gave a key pass is looked up among all events by its id.
     """
-    scoped = in_match(events, match_id)
-    shot_rows = _shots(events, match_id).groupBy(*RUN, "player", "shot_key_pass_id").agg(F.max(XG).alias("shot_xg"))
-    assists = (
-        shot_rows.filter(F.col("shot_key_pass_id").isNotNull())
-        .select(*RUN, F.col("shot_key_pass_id").alias("id"))
-        .join(events.select("match_id", "id", F.col("player").alias("assister")), ["match_id", "id"])
-        .select(*RUN, "assister").distinct()
-    )
-    runs = shot_rows.groupBy(*RUN).agg(
-        F.count("*").alias("run_rows"), sum_flag(F.col("player").isNotNull()).alias("named_rows"),
-        total(F.col("shot_xg")).alias("run_xg"),
-    )
-    own = shot_rows.filter(F.col("player").isNotNull()).groupBy(*RUN, "player").agg(F.count("*").alias("own_rows"))
-    touches = (
-        scoped.filter(F.col("player").isNotNull() & F.col("type").isin("Pass", "Carry", "Dribble"))
-        .groupBy(*RUN, "player").agg(F.count_distinct("id").alias("touches"))
-        .join(runs, RUN)
-        .join(own, RUN + ["player"], "left")
-        # a touch survives when at least one shot row has another shooter
-        .filter(F.col("named_rows") > F.coalesce("own_rows", F.lit(0)))
-        .join(assists.withColumnRenamed("assister", "player"), RUN + ["player"], "left_anti")
-    )
-    players = (
-        touches.groupBy(*PLAYER)
-        .agg(
-            F.count("*").alias("possessions_with_buildup"),
-            total(F.col("run_xg")).alias("xg_sum"),
-            F.sum("run_rows").alias("rows"),
-            F.sum(F.col("touches") * F.col("run_rows")).alias("total_touches_in_buildup"),
-        )
-        .filter(F.col("total_touches_in_buildup") >= min_touches)
-    )
-    out = _with_minutes(players, lineups, events).select(
+    grain = possession_grain(events, match_id)
+    given = in_match(events, match_id).filter((F.col("type") == "Shot") & F.col(XG).isNotNull() & F.col("shot_key_pass_id").isNotNull()).select(
+        *RUN, F.col("shot_key_pass_id").alias("id"))
+    assists = given.join(events.select("match_id", "id", "player"), ["match_id", "id"]).select(*RUN, "player").distinct()
+    grain = grain.join(assists.withColumn("assisted", F.lit(True)), RUN + ["player"], "left")
+    # a touch survives when at least one shot row has another shooter
+    part = F.col("placed") & (F.col("touches") > 0) & (F.col("named_tries") > F.col("tries")) & F.col("assisted").isNull()
+    mine = lambda c: F.when(part, c)
+    out = _per_player(
+        grain, part, lineups, sum_flag(part).alias("possessions_with_buildup"), F.sum(mine(F.col("run_worth"))).cast("double").alias("xg_sum"),
+        F.sum(mine(F.col("run_tries"))).alias("rows"), F.sum(mine(F.col("touches") * F.col("run_tries"))).alias("total_touches_in_buildup"))
+    out = out.filter(F.col("total_touches_in_buildup") >= min_touches).select(
         *PLAYER, "possessions_with_buildup",
         F.round("xg_sum", 3).alias("xg_buildup"),
         F.round(F.col("xg_sum") / F.col("rows"), 3).alias("avg_xg_per_possession"),
