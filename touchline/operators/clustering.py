@@ -330,6 +330,11 @@ def decision_matrix(sweep: DataFrame) -> DataFrame:
     return ranked.withColumn("avg_rank", F.round((F.col("rank_sil") + F.col("rank_ch") + F.col("rank_db") + F.col("rank_ari")) / 4.0, 2))
 
 
+def bootstrap_weight(key: Column, resample: int, seed: int) -> Column:
+    """How often a resample of :func:`bootstrap_labels` holds the row of that key."""
+    return fits.drawn(fits.row_hash(key), resample + 1, seed)[resample].cast("double")
+
+
 def bootstrap_labels(df: DataFrame, key: str, n_bootstrap: int = 100, k: int = 6, seed: int = 42, n_init: int = 10) -> DataFrame:
     """Long table (resample, key, cluster, weight): a weighted fit per resample, all side by side."""
     rows = fits.points(df, key, fits.drawn(F.col("h"), n_bootstrap, seed), [key])
